@@ -17,16 +17,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_glued(spark: SparkSession, path: str) -> DataFrame:
-    """Arrays that follow each other without a line end, split back into lines.
+    """One row per array where arrays span several lines.
 
-    Records are cut at ``][`` by the reader's line separator, so a file is
-    still read in splits and never as one value.
+    Arrays are cut where one ends and the next line begins another. That is
+    the reader's record separator, so files are still read in splits and
+    never as one value.
     """
-    lines = spark.read.option("lineSep", "][").text(path)
-    body = F.regexp_replace(F.col("value"), r"(?s)^\s*\[|\]\s*$", "")
-    parts = F.explode(F.split(body, r"\]\s*\n\s*\["))
-    return lines.select(
-        F.concat(F.lit("["), parts, F.lit("]")).alias("line"), F.col("_metadata.file_path").alias("file")
+    records = spark.read.option("lineSep", "]\n[").text(path)
+    body = F.regexp_replace(F.col("value"), r"^\s*\[|\]\s*$", "")
+    return records.select(
+        F.concat(F.lit("["), body, F.lit("]")).alias("line"), F.col("_metadata.file_path").alias("file")
     )
 
 
@@ -38,14 +38,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     post lacking text or id). The array mixes types, so it is split into JSON
     texts first and only the object is parsed to a fixed struct.
     """
-    # One more pair of brackets makes anything behind the array a parse error.
-    items = F.from_json(F.concat(F.lit("["), F.col("line"), F.lit("]")), "array<array<string>>")
-    split = lines.withColumn("items", F.get(items, 0))
-    parsed = split.select(
+    # One more pair of brackets makes anything behind the array a parse error. Both parses stand in a
+    # generator, below which no filter moves: so each line is parsed once, however its fields are used.
+    whole = F.from_json(F.concat(F.lit("["), F.col("line"), F.lit("]")), "array<array<string>>")
+    items = lines.select(*lines.columns, F.explode_outer(whole).alias("items"))
+    parsed = items.select(
         *lines.columns,
         F.get("items", 0).try_cast("bigint").alias("collection_date"),
         F.get("items", 1).alias("given_id"),
-        F.from_json(F.get("items", 2), RAW_POST).alias("post"),
+        F.explode_outer(F.array(F.from_json(F.get("items", 2), RAW_POST))).alias("post"),
     )
     post = F.col("post")
     notice = (F.col("given_id") == MISSING_ID) & post["delete"]["status"]["id"].isNotNull()
