@@ -105,7 +105,8 @@ def dispatches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("afp.com-20161115T"), F.lpad((F.col("item_id") % 24).cast("string"), 2, "0"), F.lit("1832Z-TX-PAR-D"),
         F.col("item_id").cast("string"), F.lit(".xml"),
     )
-    return rows.select("item_id", file.alias("file"), F.col("text").alias("headline"))
+    subjects = F.array(F.lit("15000000"), F.lit("04000000"))
+    return rows.select("item_id", file.alias("file"), F.col("text").alias("headline"), subjects.alias("subjects"))
 
 
 def dispatch_entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

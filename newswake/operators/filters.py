@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newswake.constants import EXCLUDED_TITLES, STREAM_TAGS
+from newswake.constants import EXCLUDED_TITLES, SPORT_SUBJECT, STREAM_TAGS
 from newswake.functions.posts import has_event
 from newswake.functions.text import search_tokens
 
@@ -88,6 +88,11 @@ def title_exclusion(title: Column, phrases: Sequence[str] = EXCLUDED_TITLES) ->
     return reduce(lambda test, phrase: test & ~F.contains(title, F.lit(phrase)), phrases, F.lit(True))
 
 
+def subject_exclusion(subjects: Column, excluded: str = SPORT_SUBJECT) -> Column:
+    """True if any subject is another one: sport together with something else is kept."""
+    return F.exists(subjects, lambda code: code != excluded)
+
+
 def title_dedup(dispatches: DataFrame) -> DataFrame:
     """Of the dispatches with the same title, the first by file name."""
     first = dispatches.groupBy("title").agg(F.min_by(F.struct(*dispatches.columns), "file").alias("first"))

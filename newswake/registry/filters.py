@@ -118,10 +118,8 @@ def min_count(spark, sf):
     """SELECT user_id FROM events GROUP BY user_id HAVING bool_or(event_type <> 'click')""",
 )
 def subject_exclusion(spark, sf):
-    from newswake.sources.dispatches import subject_exclusion as other_subject
-
     rows = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("subjects"))
-    return rows.filter(other_subject(F.col("subjects"), "click")).select("user_id")
+    return rows.filter(P.subject_exclusion(F.col("subjects"), "click")).select("user_id")
 
 
 @query("null_title", "SELECT doc_id FROM documents WHERE CASE WHEN lang = 'fr' THEN text END IS NOT NULL")

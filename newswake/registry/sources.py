@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newswake import catalog
 from newswake.catalog import table
 from newswake.functions.posts import event_from_filename
+from newswake.operators.filters import subject_exclusion
 from newswake.registry import base as B
 from newswake.registry.base import query
 from newswake.registry.scalars import CLEAN_TITLE
@@ -212,7 +213,7 @@ def xml_get(spark, sf):
     xml = F.col("xml")
     codes = N.subject_codes(xml)
     return dispatch_xml(spark, sf).select(
-        "item_id", N.headline(xml).alias("headline"), F.size(codes).alias("subjects"), N.subject_exclusion(codes).alias("kept")
+        "item_id", N.headline(xml).alias("headline"), F.size(codes).alias("subjects"), subject_exclusion(codes).alias("kept")
     )
 
 

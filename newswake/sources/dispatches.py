@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newswake.constants import SPORT_SUBJECT
 from newswake.functions.text import unaccent
 
 _SUBJECT = "struct<_FormalName:string>"
@@ -55,11 +54,6 @@ def headline(xml: Column) -> Column:
     return F.nullif(F.xpath_string(xml, F.lit("//NewsLines/HeadLine")), F.lit(""))
 
 
-def subject_exclusion(subjects: Column, excluded: str = SPORT_SUBJECT) -> Column:
-    """True if any subject is another one: sport together with something else is kept."""
-    return F.exists(subjects, lambda code: code != excluded)
-
-
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
     """Named entities per dispatch file, from ``file;locations;people;organisations``."""
     rows = spark.read.schema("file string, locations string, people string, organisations string").csv(path, sep=";")
