@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newswake.functions.posts import event_struct, hashtag_string
-from newswake.functions.text import canonical_term, ngrams, tokenize_terms
+from newswake.functions.text import tokenize_terms
 from newswake.schema import EVENT
 from newswake.session import spread
 
@@ -32,9 +32,14 @@ def source_date(source: Column) -> Column:
 
 
 def short_word_tags(text: Column) -> Column:
-    """Tags of a post: its pairs of neighbouring words of at most three letters."""
-    short = F.filter(ngrams(tokenize_terms(text), 2), lambda g: g.rlike(r"(?U)^\w{2,3} \w{2,3}$"))
-    return F.array_distinct(F.transform(short, canonical_term))
+    """Tags of a post: its pairs of neighbouring words of at most three letters, each pair in alphabetical order."""
+    tokens = tokenize_terms(text)
+
+    def tag(a: Column, b: Column) -> Column:
+        pair = F.when(a == b, a).otherwise(F.concat_ws(" ", F.least(a, b), F.greatest(a, b)))
+        return F.when((F.length(a) <= 3) & (F.length(b) <= 3), pair)
+
+    return F.array_distinct(F.array_compact(F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(0))), tag)))
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +88,11 @@ def timed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures_of(table(spark, sf_dir, "events"))
+
+
+def captures_of(rows: DataFrame) -> DataFrame:
     """``events`` rows as captures of the post ``user_id``, tagged with their type."""
-    rows = table(spark, sf_dir, "events")
     day = F.date_format("ts", "yyyyMMdd")
     event = event_struct(day, F.date_trunc("DAY", "ts").cast("timestamp_ntz"), F.concat(F.lit("day "), day))
     return rows.select(

@@ -18,7 +18,7 @@ from newswake.constants import (
 )
 from newswake.functions.posts import has_event
 from newswake.operators.filters import date_range, field_match, nested_event_match
-from newswake.operators.joins import top_n_per_group
+from newswake.operators.joins import one_per_element, top_n_per_group
 
 
 def post_events(posts: DataFrame, *columns: str) -> DataFrame:
@@ -66,7 +66,7 @@ def field_counts(
     )
     if event_id is not None:
         rows = rows.filter(F.col("event_id") == event_id)
-    rows = rows.select("event_id", F.explode(values(F.col(field), is_array)).alias("value"))
+    rows = one_per_element(rows, ["event_id"], values(F.col(field), is_array), "value")
     counts = rows.groupBy("event_id", "value").agg(F.count("*").alias("n")).filter(F.col("n") >= min_posts)
     if limit is None:
         return counts
@@ -111,7 +111,7 @@ def id_watermark(results: DataFrame) -> DataFrame:
 def trending_terms(posts: DataFrame, k: int, window: str | None = None) -> DataFrame:
     """The ``k`` most frequent hashtags, overall or per time window, each once per post."""
     keys = [] if window is None else [F.window("created_at", window)["start"].alias("window_start")]
-    rows = posts.select(*keys, F.explode(F.array_distinct(F.split("hashtags", " "))).alias("hashtag"))
+    rows = one_per_element(posts, keys, F.array_distinct(F.split("hashtags", " ")), "hashtag")
     names = [c for c in rows.columns if c != "hashtag"]
     counts = rows.groupBy(*names, "hashtag").agg(F.count("*").alias("n"))
     order = [F.desc("n"), F.asc("hashtag")]

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newswake.constants import MAX_FIELD_VALUES, MIN_FIELD_POSTS, MIN_TERM_TEXTS, STOP_WORDS
 from newswake.functions.text import remove_stopwords, strip_urls_mentions, term_grams, tokenize_terms
 from newswake.operators.aggregates import field_counts, post_events
-from newswake.operators.joins import salted_join
+from newswake.operators.joins import one_per_element, salted_join
 
 
 def text_terms(groups: DataFrame, n_min: int = 2, n_max: int = 3, stop_words=STOP_WORDS) -> DataFrame:
     """The terms of each representative text, each once: ``event_id, root_id, n, term``."""
     tokens = remove_stopwords(tokenize_terms(strip_urls_mentions(F.col("text"))), stop_words)
     tokenized = groups.select("event_id", "root_id", "n", tokens.alias("tokens"))
-    return tokenized.select("event_id", "root_id", "n", F.explode(term_grams(F.col("tokens"), n_min, n_max)).alias("term"))
+    return one_per_element(tokenized, ["event_id", "root_id", "n"], term_grams(F.col("tokens"), n_min, n_max), "term")
 
 
 def ngram_presence(groups: DataFrame, n_min: int = 2, n_max: int = 3, min_texts: int = MIN_TERM_TEXTS) -> DataFrame:
@@ -33,10 +33,12 @@ def weighted_ngrams(groups: DataFrame, n_min: int = 2, n_max: int = 3) -> DataFr
 def event_text_matrix(groups: DataFrame, n_min: int = 2, n_max: int = 3, min_texts: int = MIN_TERM_TEXTS) -> DataFrame:
     """Occurrences of each term in each event, reposts counted.
 
-    Texts are summed per event and term before the rare terms are looked
-    for, so the text is read once and only matrix cells are joined. The
-    filter on both sums keeps the nonzero cells; it also makes both readers of
-    the cells need the same columns, so that Spark reuses their shuffle.
+    The texts are summed per event and term with partial aggregation, so the
+    text is read once and a frequent term is reduced before it is shuffled.
+    Only then the cells of a term meet, at most one per event, to tell
+    whether it occurs in enough texts. The filter on both sums keeps the
+    nonzero cells; it also makes all readers of the cells need the same
+    columns, so that Spark reuses their shuffle.
     """
     cells = (
         text_terms(groups, n_min, n_max)
@@ -44,8 +46,9 @@ def event_text_matrix(groups: DataFrame, n_min: int = 2, n_max: int = 3, min_tex
         .agg(F.sum("n").alias("value"), F.count("*").alias("texts"))
         .filter((F.col("value") > 0) & (F.col("texts") > 0))
     )
-    frequent = cells.groupBy("term").agg(F.sum("texts").alias("_texts")).filter(F.col("_texts") >= min_texts)
-    return cells.join(frequent.select("term"), "term").select("event_id", "term", "value")
+    texts = F.sum("texts").over(Window.partitionBy("term"))
+    frequent = cells.withColumn("_texts", texts).filter(F.col("_texts") >= min_texts)
+    return frequent.select("event_id", "term", "value")
 
 
 def event_hashtag_matrix(
@@ -64,12 +67,14 @@ def number_of_events(posts: DataFrame) -> Column:
 def tfidf(matrix: DataFrame, n_events: Column) -> DataFrame:
     """Smoothed TF-IDF with rows of length one.
 
-    ``idf = ln((1 + events) / (1 + events with the term)) + 1``. The norm of a
-    hot event is summed in the map tasks and spread over salts for the join.
+    ``idf = ln((1 + events) / (1 + events with the term)) + 1``. A term has
+    one cell per event, and the matrix comes partitioned by term, so counting
+    them shuffles nothing again. The norm of a hot event is summed in the map
+    tasks and spread over salts for the join.
     """
-    spread = matrix.groupBy("term").agg(F.count("*").alias("df"))
+    df = F.count("*").over(Window.partitionBy("term"))
     idf = F.log((n_events + F.lit(1.0)) / (F.col("df") + 1)) + 1
-    weighted = matrix.join(spread, "term").select("event_id", "term", (F.col("value") * idf).alias("weight"))
+    weighted = matrix.withColumn("df", df).select("event_id", "term", (F.col("value") * idf).alias("weight"))
     norms = weighted.groupBy("event_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     scaled = salted_join(weighted, norms, ["event_id"], ["term"])
     return scaled.select("event_id", "term", (F.col("weight") / F.col("norm")).alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newswake.operators.joins import salted_join
+from newswake.operators.joins import sized_join
 
 
 def _walk(steps: Column, start: Column, append) -> Column:
@@ -41,7 +41,7 @@ def segment_hashtags(hashtags: DataFrame, vocab: DataFrame, column: str = "word"
         "word", "start", (F.col("start") + F.col("size") - 1).alias("end"),
         F.substring("word", F.col("start"), F.col("size")).alias("piece"),
     )
-    hits = salted_join(pieces, known, ["piece"], ["word"], how="left_semi")
+    hits = sized_join(pieces, known, ["piece"], ["word"], how="left_semi")
 
     # (true, start, longest end) for the way forward, (false, -end, longest piece's -start) for the way back.
     ways = hits.select("word", F.explode(F.array(

@@ -7,7 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 32
+from newswake.session import written
+
+SALTS = 32  # a power of two
+BROADCAST_ROWS = 100_000  # rows of a few words each
+
+
+def salt(spread: Sequence[str], salts: int = SALTS) -> Column:
+    """A part number from the hash of some columns. Never null, so a join on it adds no filter below."""
+    return F.xxhash64(*spread).bitwiseAND(salts - 1)
+
+
+def one_per_element(df: DataFrame, columns: Sequence, array: Column, name: str, place: str | None = None) -> DataFrame:
+    """A row per array element that is not null, with the given columns (and the place in the array).
+
+    The optimizer lets an inner explode test below it, at the scan, that the
+    array is not empty, and so computes the array twice. An outer one with
+    the test behind it computes it once.
+    """
+    if place is None:
+        rows = df.select(*columns, F.explode_outer(array).alias(name))
+    else:
+        rows = df.select(*columns, F.posexplode_outer(array).alias(place, name))
+    return rows.filter(F.col(name).isNotNull())
 
 
 def salted_join(
@@ -19,11 +41,27 @@ def salted_join(
     ``small`` is repeated once per salt. Where Spark measures ``small`` to fit
     its broadcast threshold it broadcasts it and nothing is shuffled.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = big.withColumn("_salt", salt(spread, salts))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def sized_join(
+    big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """Join ``big`` to a side that is expected to be small, after counting it.
+
+    The planner cannot guess the size of such a side (it is the outcome of
+    joins and generators), so it is written and counted. Up to
+    ``BROADCAST_ROWS`` rows it is broadcast and ``big`` stays where it is;
+    beyond, the join is salted.
+    """
+    stored = written(small, "side")
+    if stored.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(stored), list(keys), how)
+    return salted_join(big, stored, keys, spread, how, salts)
+
+
 def top_n_per_group(
     df: DataFrame,
     keys: Sequence[str],
@@ -38,7 +76,7 @@ def top_n_per_group(
     First the best ``n`` of each of ``salts`` parts of a group, then the best
     ``n`` of those: the last step sees at most ``n * salts`` rows of a group.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    salted = df.withColumn("_salt", salt(spread, salts))
     part = Window.partitionBy(*keys, "_salt").orderBy(*order)
     kept = salted.withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= n).drop("_rank", "_salt")
     whole = Window.partitionBy(*keys).orderBy(*order)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newswake.constants import PHRASE_MIN_COUNT, PHRASE_THRESHOLD
-from newswake.operators.joins import salted_join
+from newswake.operators.joins import one_per_element, salted_join, sized_join
 
 
 def learn_phrases(
@@ -19,16 +19,18 @@ def learn_phrases(
     no more than zero, so those go before the joins, as do such rare words.
     """
     tokens = F.col("tokens")
-    single = F.transform(tokens, lambda t: F.struct(t.alias("a"), F.lit(None).cast("string").alias("b")))
+    single = F.transform(tokens, lambda t: F.struct(t.alias("a"), F.lit("").alias("b")))
     neighbours = F.greatest(F.size(tokens) - 1, F.lit(0))
     pairs = F.zip_with(
         F.slice(tokens, F.lit(1), neighbours), F.slice(tokens, F.lit(2), neighbours),
         lambda a, b: F.struct(a.alias("a"), b.alias("b")),
     )
-    items = sentences.select(F.explode(F.concat(single, pairs)).alias("item")).select("item.a", "item.b")
-    # is_pair is an aggregate, so a filter on it stays above the shuffle and all readers share that shuffle.
-    counts = items.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.col("b").isNotNull()).alias("is_pair"))
-    size = counts.agg(F.count_if((F.col("n") > 0) & F.col("is_pair").isNotNull() & F.col("a").isNotNull())).scalar()
+    items = one_per_element(sentences, [], F.concat(single, pairs), "item")
+    # All readers of the counts must share one shuffle. So the keys are never null, which spares the joins a test
+    # that would move below it, and is_pair is an aggregate, so that a filter on it stays above.
+    keys = items.select(*[F.coalesce(F.col("item")[k], F.lit("")).alias(k) for k in ("a", "b")])
+    counts = keys.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.col("b") != "").alias("is_pair"))
+    size = counts.agg(F.count_if((F.col("n") > 0) & F.col("is_pair").isNotNull())).scalar()
     often = counts.filter(F.col("n") > min_count)
     word_counts = often.filter(~F.col("is_pair"))
     scored = often.filter(F.col("is_pair"))
@@ -52,9 +54,9 @@ def apply_phrases(sentences: DataFrame, phrases: DataFrame, key: str) -> DataFra
         F.slice(tokens, F.lit(1), neighbours), F.slice(tokens, F.lit(2), neighbours),
         lambda a, b: F.struct(a.alias("word_a"), b.alias("word_b")),
     )
-    placed = sentences.select(key, F.posexplode(pairs).alias("at", "pair")).select(key, "at", "pair.*")
+    placed = one_per_element(sentences, [key], pairs, "pair", "at").select(key, "at", "pair.*")
     known = phrases.select("word_a", "word_b").distinct()
-    hits = salted_join(placed, known, ["word_a", "word_b"], [key], how="left_semi")
+    hits = sized_join(placed, known, ["word_a", "word_b"], [key], how="left_semi")
     found = hits.groupBy(key).agg(F.array_sort(F.collect_list("at")).alias("hits"))
 
     start = F.struct(F.lit(-2).alias("last"), F.array().cast("array<int>").alias("taken"))

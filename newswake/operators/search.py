@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from newswake.constants import EXCLUDED_ENTITIES, MIN_TERM_WEIGHT
 from newswake.functions.text import canonical_term, search_tokens, words
 from newswake.operators.filters import all_words
-from newswake.operators.joins import salted_join
+from newswake.operators.joins import one_per_element, sized_join
+from newswake.session import written
 
 
 def dispatch_entities(dispatches: DataFrame, entities: DataFrame) -> DataFrame:
@@ -49,19 +50,25 @@ def event_search(posts: DataFrame, queries: DataFrame, text: str = "text") -> Da
     Each query is looked up under its rarest word only, and the other words
     are tested on the posts found there. So the pairs formed are as many as
     the posts with that word, not as the posts with any word of the query.
+
+    The words of the queries, their rarest words and the pairs are written
+    and counted one after the other. As long as they are few, the posts are
+    only scanned and never shuffled.
     """
     tokens = posts.select("post_id", F.array_distinct(search_tokens(F.col(text))).alias("tokens"))
+    found = one_per_element(tokens, ["post_id"], F.col("tokens"), "word")
     asked = queries.withColumn("needed", F.array_distinct(search_tokens(F.col("query")))).filter(F.size("needed") > 0)
+    asked = written(asked, "queries")
 
-    found = tokens.select("post_id", F.explode("tokens").alias("word"))
-    frequency = found.groupBy("word").agg(F.count("*").alias("n"))
     needed = asked.select("needed", F.explode("needed").alias("word")).distinct()
-    ranked = salted_join(needed, frequency, ["word"], ["needed"], how="left")
+    known = sized_join(found, needed.select("word").distinct(), ["word"], ["post_id"], how="left_semi")
+    frequency = known.groupBy("word").agg(F.count("*").alias("n"))
+    ranked = sized_join(needed, frequency, ["word"], ["needed"], how="left")
     rarest = ranked.groupBy("needed").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r"))
     anchors = rarest.filter(F.col("r.n") > 0).select("needed", F.col("r.word").alias("word"))
 
-    pairs = salted_join(found, anchors, ["word"], ["post_id"]).select("post_id", "needed")
-    matches = pairs.join(tokens, "post_id").filter(all_words(F.col("tokens"), F.col("needed")))
+    pairs = sized_join(found, anchors, ["word"], ["post_id"]).select("post_id", "needed")
+    matches = sized_join(tokens, pairs, ["post_id"], ["post_id"]).filter(all_words(F.col("tokens"), F.col("needed")))
     return asked.join(matches.select("post_id", "needed"), "needed").drop("needed")
 
 

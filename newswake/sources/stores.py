@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newswake.functions.text import safe_tag, words
+from newswake.operators.joins import one_per_element
 
 
 def scan_posts(spark: SparkSession, path: str, predicate: Column | None = None, columns=None) -> DataFrame:
@@ -48,7 +49,7 @@ def write_bucketed(posts: DataFrame, table: str, buckets: int = 1024, key: str =
 def vocab_update(vocab: DataFrame, entities: DataFrame) -> DataFrame:
     """Vocabulary with every entity word in lower case added."""
     cells = F.concat("locations", "people", "organisations")
-    new = entities.select(F.explode(words(F.lower(F.array_join(cells, " ")))).alias("word"))
+    new = one_per_element(entities, [], words(F.lower(F.array_join(cells, " "))), "word")
     return vocab.select("word").union(new).distinct()
 
 
