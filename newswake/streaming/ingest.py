@@ -14,9 +14,13 @@ from newswake.sources.captures import parse_lines
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Capture lines of a growing folder."""
+    """Capture lines of a growing folder, with the time their file arrived."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-    return lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    return lines.select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").alias("arrived_at"),
+    )
 
 
 def stream_sample(posts: DataFrame, lang: str | None = None) -> DataFrame:
@@ -30,14 +34,13 @@ def stream_filter(posts: DataFrame, track: Sequence[str], lang: str | None = Non
 
 
 def stream_dedup(rows: DataFrame, keys: Sequence[str], time: str, delay: str = "1 hour") -> DataFrame:
-    """Each key once, as long as its repeats come within the delay. The state is spread by key."""
-    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
-
+    """Each key once, as long as its repeats come within the delay. The state is spread by key.
 
-def parse_stream(lines: DataFrame) -> DataFrame:
-    """Parsed lines with the capture time as event time."""
-    parsed = parse_lines(lines)
-    return parsed.withColumn("captured_at", F.timestamp_seconds(F.coalesce("collection_date", F.lit(0))))
+    Rows older than the delay count as late and are dropped, so ``time``
+    should be the time of arrival: files are read in that order, whatever
+    the age of the posts in them.
+    """
+    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
 def store_stream(rows: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> StreamingQuery:
@@ -78,9 +81,10 @@ def ingest(spark: SparkSession, source: str, path: str, checkpoint: str) -> Data
     the table of posts by ``upsert_live``, and the notices are taken out with
     ``apply_deletes``.
     """
-    parsed = parse_stream(read_stream(spark, source))
-    once = stream_dedup(parsed.withColumn("key", F.coalesce(F.col("post_id").cast("string"), "line")), ["kind", "key"], "captured_at")
-    run_to_end(store_stream(once.drop("key"), path, checkpoint, ["kind"]))
+    parsed = parse_lines(read_stream(spark, source))
+    known = parsed.withColumn("key", F.coalesce(F.col("post_id").cast("string"), "line"))
+    once = stream_dedup(known, ["kind", "key"], "arrived_at").drop("key")
+    run_to_end(store_stream(once, path, checkpoint, ["kind"]))
     return spark.read.parquet(path)
 
 
