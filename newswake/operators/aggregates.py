@@ -86,7 +86,10 @@ def repost_groups(posts: DataFrame, event_id: str | None = None, limit: int | No
     )
     if limit is None:
         return groups
-    return top_n_per_group(groups, ["event_id"], [F.desc("n"), F.asc("root_id")], limit, ["root_id"])
+    # The ranking runs on the counts alone; the texts are joined where their groups already are.
+    sizes = rows.groupBy("event_id", "root_id").agg(F.count("*").alias("n"))
+    kept = top_n_per_group(sizes, ["event_id"], [F.desc("n"), F.asc("root_id")], limit, ["root_id"])
+    return groups.join(kept.select("event_id", "root_id"), ["event_id", "root_id"], "left_semi")
 
 
 def event_details(posts: DataFrame, event_id: str | None = None) -> DataFrame:

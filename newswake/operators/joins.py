@@ -52,11 +52,16 @@ def sized_join(
     """Join ``big`` to a side that is expected to be small, after counting it.
 
     The planner cannot guess the size of such a side (it is the outcome of
-    joins and generators), so it is written and counted. Up to
-    ``BROADCAST_ROWS`` rows it is broadcast and ``big`` stays where it is;
-    beyond, the join is salted.
+    joins and generators), so it is written and counted.
     """
-    stored = written(small, "side")
+    return counted_join(big, written(small, "side"), keys, spread, how, salts)
+
+
+def counted_join(
+    big: DataFrame, stored: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """Join ``big`` to a stored side: up to ``BROADCAST_ROWS`` rows it is broadcast and ``big`` stays where it is;
+    beyond, the join is salted."""
     if stored.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(stored), list(keys), how)
     return salted_join(big, stored, keys, spread, how, salts)

@@ -31,7 +31,7 @@ def reduce_captures(rows: DataFrame, key: str, order: str, arrays: list[str]) ->
 
     parts = [F.array(entry()), *map(entries, arrays)]
     flat = rows.select(
-        key, order, F.struct(*scalars).alias("scalars"), F.posexplode(F.concat(*parts)).alias("at", "part")
+        key, order, F.struct(F.lit(True).alias("_stored"), *scalars).alias("scalars"), F.posexplode(F.concat(*parts)).alias("at", "part")
     ).select(
         key,
         F.struct(order, "at").alias("seen"),
@@ -50,7 +50,7 @@ def reduce_captures(rows: DataFrame, key: str, order: str, arrays: list[str]) ->
         F.first("scalars", ignorenulls=True).alias("scalars"),
         *[collected(k, a) for k, a in enumerate(arrays, 1)],
     )
-    return merged.select(key, "scalars.*", *arrays)
+    return merged.select(key, "scalars.*", *arrays).drop("_stored")
 
 
 def upsert(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from newswake.constants import EXCLUDED_ENTITIES, MIN_TERM_WEIGHT
 from newswake.functions.text import canonical_term, search_tokens, words
 from newswake.operators.filters import all_words
-from newswake.operators.joins import one_per_element, sized_join
+from newswake.operators.joins import counted_join, one_per_element, sized_join
+from newswake.operators.merge import reduce_captures
 from newswake.session import written
 
 
@@ -68,14 +69,20 @@ def event_search(posts: DataFrame, queries: DataFrame, text: str = "text") -> Da
     anchors = rarest.filter(F.col("r.n") > 0).select("needed", F.col("r.word").alias("word"))
 
     pairs = sized_join(found, anchors, ["word"], ["post_id"]).select("post_id", "needed")
-    matches = sized_join(tokens, pairs, ["post_id"], ["post_id"]).filter(all_words(F.col("tokens"), F.col("needed")))
-    return asked.join(matches.select("post_id", "needed"), "needed").drop("needed")
+    # A post is in one row of tokens, so beyond the broadcast size this is a plain join on unique ids.
+    both = sized_join(tokens, pairs, ["post_id"], ["post_id"], salts=1)
+    matches = both.filter(all_words(F.col("tokens"), F.col("needed")))
+    return counted_join(matches.select("post_id", "needed"), asked, ["needed"], ["post_id"]).drop("needed")
 
 
 def collected(posts: DataFrame, matches: DataFrame, event: str = "event") -> DataFrame:
-    """Matched posts as captures: tagged with the query, holding its event."""
-    found = matches.select("post_id", F.array("query").alias("tags"), F.array(event).alias("events"))
-    return posts.drop("tags", "events").join(found, "post_id")
+    """Matched posts as captures: tagged with their queries, holding their events.
+
+    The matches of a post meet before its text is fetched, which so moves once however many queries it matches.
+    """
+    found = matches.select("post_id", "query", F.array("query").alias("tags"), F.array(event).alias("events"))
+    labels = reduce_captures(found, "post_id", "query", ["tags", "events"])
+    return posts.drop("tags", "events").join(labels, "post_id")
 
 
 def term_not_in_tags(terms: DataFrame, tags: DataFrame) -> DataFrame:

@@ -199,13 +199,18 @@ def trained(spark, sf):
     return V.train_word_vectors(chat(spark, sf), size=50, iterations=1, partitions=cores)
 
 
-@query("word_vectors")
+CHAT_WORDS = rf"""SELECT word FROM (
+  SELECT unnest(regexp_extract_all(lower({B.no_punct(B.strip('text'))}), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]+')) AS word
+  FROM conversations) GROUP BY word HAVING count(*) >= 5"""
+
+
+# The vectors depend on the training; which words have one does not.
+@query("word_vectors", CHAT_WORDS)
 def word_vectors(spark, sf):
-    """Words, and the length of their vectors."""
     return trained(spark, sf).getVectors().select("word")
 
 
-@query("model_save_load")
+@query("model_save_load", CHAT_WORDS)
 def model_save_load(spark, sf):
     from pyspark.ml.feature import Word2VecModel
 

@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may fall back to a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
     master = spark.conf.get("spark.master", "")

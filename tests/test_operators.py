@@ -60,6 +60,12 @@ def test_hashtag_matrix(small):
     assert rows(X.event_hashtag_matrix(small, min_posts=1)) == [("a", "Buisson", 1), ("a", "Sarkozy", 2), ("b", "Hollande", 2)]
 
 
+def test_hot_root_post(spark):
+    data = [(i, "0" if i % 3 else str(i), f"t{i}", ["a"], [], None) for i in range(600)]
+    top = A.repost_groups(posts(spark, data), limit=5)
+    assert rows(top.select("root_id", "n", "post_id", "text"))[0] == ("0", 401, 0, "t0") and top.count() == 5
+
+
 def test_repost_groups(small):
     groups = A.repost_groups(small).select("event_id", "root_id", "n", "text")
     assert rows(groups) == [("a", "1", 2, "un"), ("a", "3", 1, "deux"), ("a", "4", 1, "trois"), ("b", "4", 1, "trois"), ("b", "5", 2, "quatre")]
@@ -93,6 +99,13 @@ def test_salted_join_equals_join(spark, how):
     assert rows(J.sized_join(big, small, ["k"], ["i"], how)) == rows(big.join(small, "k", how))
 
 
+@pytest.fixture(params=["broadcast", "salted"])
+def join_path(request, monkeypatch):
+    """Both ways of a counted join: within the broadcast size and beyond it."""
+    if request.param == "salted":
+        monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+
+
 CAPTURE = f"post_id bigint, text string, tags array<string>, events array<{EVENT}>"
 
 
@@ -151,7 +164,7 @@ def test_delete(spark, small):
     assert [r.post_id for r in M.delete_by_ids(small, listed).orderBy("post_id").collect()] == [3, 4, 5, 6]
 
 
-def test_event_search_equals_brute_force(spark):
+def test_event_search_equals_brute_force(spark, join_path):
     rng = random.Random(1)
     words = ["le", "le", "le", "été", "ville", "Nice", "crise", "vote"]
     texts = [(i, " ".join(rng.choices(words, k=rng.randint(1, 9)))) for i in range(300)]
@@ -184,7 +197,7 @@ def longest(word, vocab):
     return word if len(word) > len(best) else best
 
 
-def test_segmentation_equals_brute_force(spark):
+def test_segmentation_equals_brute_force(spark, join_path):
     rng = random.Random(5)
     vocab = ["je", "jes", "suis", "sui", "s", "charlie", "char", "lie", "a", "ab", "ba", "bab"]
     tags = {"".join(rng.choices(["je", "suis", "Charlie", "a", "b", "ab", "z"], k=rng.randint(1, 5))) for _ in range(200)}
@@ -198,7 +211,7 @@ def test_segmentation_without_vocabulary(spark):
     assert rows(got) == [("nice", "")]
 
 
-def test_phrases_equal_brute_force(spark):
+def test_phrases_equal_brute_force(spark, join_path):
     rng = random.Random(2)
     data = []
     for i in range(200):
