@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from newswake.constants import (
     MAX_EVENTS,
     MAX_FIELD_VALUES,
+    MAX_POSTS_PER_QUERY,
     MAX_ROOT_POSTS,
     MIN_EVENT_POSTS,
     MIN_FIELD_POSTS,
@@ -123,7 +124,7 @@ def trending_terms(posts: DataFrame, k: int, window: str | None = None) -> DataF
     return top_n_per_group(counts, names, order, k, ["hashtag"])
 
 
-def cap_per_query(results: DataFrame, n: int) -> DataFrame:
+def cap_per_query(results: DataFrame, n: int = MAX_POSTS_PER_QUERY) -> DataFrame:
     """At most ``n`` posts per query, the newest ids first."""
     return top_n_per_group(results, ["query"], [F.desc("post_id")], n, ["post_id"])
 

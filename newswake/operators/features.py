@@ -36,15 +36,12 @@ def event_text_matrix(groups: DataFrame, n_min: int = 2, n_max: int = 3, min_tex
     The texts are summed per event and term with partial aggregation, so the
     text is read once and a frequent term is reduced before it is shuffled.
     Only then the cells of a term meet, at most one per event, to tell
-    whether it occurs in enough texts. The filter on both sums keeps the
-    nonzero cells; it also makes all readers of the cells need the same
-    columns, so that Spark reuses their shuffle.
+    whether it occurs in enough texts.
     """
     cells = (
         text_terms(groups, n_min, n_max)
         .groupBy("event_id", "term")
         .agg(F.sum("n").alias("value"), F.count("*").alias("texts"))
-        .filter((F.col("value") > 0) & (F.col("texts") > 0))
     )
     texts = F.sum("texts").over(Window.partitionBy("term"))
     frequent = cells.withColumn("_texts", texts).filter(F.col("_texts") >= min_texts)
@@ -68,8 +65,7 @@ def tfidf(matrix: DataFrame, n_events: Column) -> DataFrame:
     """Smoothed TF-IDF with rows of length one.
 
     ``idf = ln((1 + events) / (1 + events with the term)) + 1``. A term has
-    one cell per event, and the matrix comes partitioned by term, so counting
-    them shuffles nothing again. The norm of a hot event is summed in the map
+    at most one cell per event. The norm of a hot event is summed in the map
     tasks and spread over salts for the join.
     """
     df = F.count("*").over(Window.partitionBy("term"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newswake.constants import PHRASE_MIN_COUNT, PHRASE_THRESHOLD
 from newswake.operators.joins import one_per_element, salted_join, sized_join
+from newswake.session import written
 
 
 def learn_phrases(
@@ -15,8 +16,10 @@ def learn_phrases(
     """Neighbouring words with ``(n_ab - min_count) * V / (n_a * n_b) > threshold``.
 
     ``V`` is the number of distinct words and distinct pairs. Words and pairs
-    are counted in one pass. A pair seen at most ``min_count`` times scores
-    no more than zero, so those go before the joins, as do such rare words.
+    are counted in one pass (a word is a pair with an empty second part) and
+    the counts are written, as they are read four times. A pair seen at most
+    ``min_count`` times scores no more than zero, so those go before the
+    joins, as do such rare words.
     """
     tokens = F.col("tokens")
     single = F.transform(tokens, lambda t: F.struct(t.alias("a"), F.lit("").alias("b")))
@@ -25,15 +28,12 @@ def learn_phrases(
         F.slice(tokens, F.lit(1), neighbours), F.slice(tokens, F.lit(2), neighbours),
         lambda a, b: F.struct(a.alias("a"), b.alias("b")),
     )
-    items = one_per_element(sentences, [], F.concat(single, pairs), "item")
-    # All readers of the counts must share one shuffle. So the keys are never null, which spares the joins a test
-    # that would move below it, and is_pair is an aggregate, so that a filter on it stays above.
-    keys = items.select(*[F.coalesce(F.col("item")[k], F.lit("")).alias(k) for k in ("a", "b")])
-    counts = keys.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.col("b") != "").alias("is_pair"))
-    size = counts.agg(F.count_if((F.col("n") > 0) & F.col("is_pair").isNotNull())).scalar()
+    items = one_per_element(sentences, [], F.concat(single, pairs), "item").select("item.a", "item.b")
+    counts = written(items.groupBy("a", "b").agg(F.count("*").alias("n")), "counts")
+    size = counts.agg(F.count("*")).scalar()
     often = counts.filter(F.col("n") > min_count)
-    word_counts = often.filter(~F.col("is_pair"))
-    scored = often.filter(F.col("is_pair"))
+    word_counts = often.filter(F.col("b") == "")
+    scored = often.filter(F.col("b") != "")
     scored = salted_join(scored, word_counts.select("a", F.col("n").alias("n_a")), ["a"], ["b"])
     scored = salted_join(scored, word_counts.select(F.col("a").alias("b"), F.col("n").alias("n_b")), ["b"], ["a"])
     score = (F.col("n") - min_count) / F.col("n_a") / F.col("n_b") * size

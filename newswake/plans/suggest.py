@@ -11,6 +11,7 @@ from newswake.functions.timing import day_window, event_window
 from newswake.operators.aggregates import event_counts, field_counts, repost_groups
 from newswake.operators.features import event_hashtag_matrix, event_text_matrix, number_of_events, tfidf, top_term_per_event
 from newswake.operators.search import term_not_in_tags
+from newswake.session import written
 
 
 def posts_of_events(posts: DataFrame, events: DataFrame) -> DataFrame:
@@ -25,14 +26,17 @@ def posts_of_events(posts: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def weigh_terms(posts: DataFrame, words: str = "text", n_min: int = 2, n_max: int = 3) -> DataFrame:
-    """TF-IDF of the events of the posts, over the words of the texts or over the hashtags."""
+    """TF-IDF of the events of the posts, over the words of the texts or over the hashtags.
+
+    The matrix is written first: weights and norms read it from there, and not the texts again.
+    """
     if words == "text":
         matrix = event_text_matrix(repost_groups(posts, limit=None), n_min, n_max)
     elif words == "hashtags":
         matrix = event_hashtag_matrix(posts)
     else:
         raise ValueError("words is 'text' or 'hashtags'")
-    return tfidf(matrix, number_of_events(posts))
+    return tfidf(written(matrix, "matrix"), number_of_events(posts))
 
 
 def suggest_queries(

@@ -22,12 +22,3 @@ RAW_POST = (
     "retweeted_status:struct<id_str:string,user:struct<screen_name:string>>,"
     "delete:struct<status:struct<id:bigint>,timestamp_ms:string>>"
 )
-
-# Stored post: everything but the key and the growing arrays is written once.
-POST_KEY = "post_id"
-POST_FIELDS = [
-    "text", "lang", "user_screen_name", "hashtags", "urls", "created_at", "timestamp_ms", "collection_date",
-    "favorite_count", "retweet_count", "user_mentions", "in_reply_to_screen_name", "author_quoted",
-    "is_retweet", "root_id", "author_retweeted",
-]
-GROWING_FIELDS = ["tags", "events"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from newswake.constants import LINES_PER_FILE
 from newswake.operators.filters import lang_filter, track_any
 from newswake.operators.merge import delete_by_ids
 from newswake.sources.captures import parse_lines
@@ -55,7 +56,7 @@ def store_stream(rows: DataFrame, path: str, checkpoint: str, partition_by: Sequ
     return writer.option("checkpointLocation", checkpoint).start(path)
 
 
-def rotating_sink(lines: DataFrame, path: str, checkpoint: str, lines_per_file: int) -> StreamingQuery:
+def rotating_sink(lines: DataFrame, path: str, checkpoint: str, lines_per_file: int = LINES_PER_FILE) -> StreamingQuery:
     """Text files of at most ``lines_per_file`` lines."""
     return (
         lines.writeStream.format("text")
