@@ -10,9 +10,11 @@ from newswake.constants import EXCLUDED_TITLES
 from newswake.functions.text import clean_title
 from newswake.operators import aggregates as A
 from newswake.operators import filters as P
+from newswake.operators import merge as M
 from newswake.registry import base as B
 from newswake.registry.base import query
 from newswake.registry.scalars import CLEAN_TITLE
+from newswake.sources.stores import scan_posts as scan
 
 TRACK = ["die", "êaux", "that the", "zzz"]
 
@@ -141,8 +143,6 @@ def sort_latest(spark, sf):
 
 @query("scan_posts", "SELECT doc_id, lang FROM documents WHERE lang = 'de' AND n_chars > 1000")
 def scan_posts(spark, sf):
-    from newswake.sources.stores import scan_posts as scan
-
     wanted = (F.col("lang") == "de") & (F.col("n_chars") > 1000)
     return scan(spark, f"{sf}/documents.parquet", wanted, ["doc_id", "lang"])
 
@@ -152,15 +152,11 @@ def scan_posts(spark, sf):
     "SELECT doc_id AS post_id, source FROM documents WHERE source <> 'src3'",
 )
 def delete_by_event(spark, sf):
-    from newswake.operators.merge import delete_by_event as delete
-
-    rows = delete(catalog.posts(spark, sf), "src3")
+    rows = M.delete_by_event(catalog.posts(spark, sf), "src3")
     return rows.select("post_id", F.get("events", 0)["id"].alias("source"))
 
 
 @query("delete_by_ids", "SELECT doc_id AS post_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def delete_by_ids(spark, sf):
-    from newswake.operators.merge import delete_by_ids as delete
-
     listed = table(spark, sf, "labels").select(F.col("doc_id").alias("post_id"))
-    return delete(table(spark, sf, "documents").select(F.col("doc_id").alias("post_id")), listed)
+    return M.delete_by_ids(table(spark, sf, "documents").select(F.col("doc_id").alias("post_id")), listed)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newswake import catalog
 from newswake.constants import EXCLUDED_ENTITIES, EXCLUDED_TITLES
-from newswake.functions.text import fold, words
+from newswake.functions.text import fold, search_tokens, words
 from newswake.operators import aggregates as A
 from newswake.operators import hashtags as H
 from newswake.operators import search as Q
@@ -16,6 +16,7 @@ from newswake.registry import base as B
 from newswake.registry.base import query
 from newswake.registry.scalars import CLEAN_TITLE
 from newswake.registry.sources import ENTITIES
+from newswake.schema import EVENT
 from newswake.sources.dispatches import parse_entities
 
 ALLOWED = " AND ".join(f"NOT contains(text, {B.quoted([p])})" for p in EXCLUDED_TITLES)
@@ -97,8 +98,6 @@ FROM found f FULL JOIN stored s ON f.doc_id = s.doc_id""",
 )
 def collected_posts(spark, sf):
     """Dispatches to queries to matching posts, merged into the stored English ones."""
-    from newswake.schema import EVENT
-
     posts = catalog.documents(spark, sf).select(
         F.col("doc_id").alias("post_id"), "text", "lang", F.col("n_chars").alias("collection_date"),
         F.array().cast("array<string>").alias("tags"), F.array().cast(f"array<{EVENT}>").alias("events"),
@@ -171,7 +170,7 @@ SELECT c.event_id, c.term FROM candidates c JOIN bodies b USING (event_id)
 WHERE len(list_filter(string_split(c.term, ' '), lambda w: NOT contains(b.body, w))) = 0""",
 )
 def terms_in_body(spark, sf):
-    """With the bodies as vocabulary a term's words segment into themselves or into nothing new."""
+    """The words of the terms are the vocabulary here, so each word segments into itself."""
     terms = candidates(spark, sf)
     parts = terms.select(F.explode(words(F.col("term"))).alias("word"))
     segments = H.segment_hashtags(parts, parts)
@@ -231,8 +230,6 @@ SELECT word, CASE WHEN fp = bp THEN array_to_string(fp, ' ')
                   WHEN length(word) > length(short) THEN word ELSE short END AS segmented FROM fewer""",
 )
 def segment_hashtags(spark, sf):
-    from newswake.functions.text import search_tokens
-
     part, conversations, titles = (catalog.table(spark, sf, t) for t in ("part", "conversations", "benchmark"))
     known = part.select(F.explode(F.split("p_name", " ")).alias("word"))
     short = titles.select(F.explode(search_tokens(F.col("text"))).alias("word")).filter(F.length("word") <= 4)
