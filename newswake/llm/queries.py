@@ -5,13 +5,16 @@ from __future__ import annotations
 from newswake.llm.contamination import op8_spaced_seeds
 from newswake.llm.language import op10_fused_language
 from newswake.llm.mixing import op1_soft_mixture
+from newswake.llm.packing import op4_bit_packing
 from newswake.llm.quality import op2_divergence_rules
 from newswake.llm.secrets import op7_markov_secrets
 from newswake.llm.sharding import op5_stratified_shards
+from newswake.llm.trie import op3_elias_fano_bigrams
+from newswake.llm.substrings import op6_block_anchors
 from newswake.llm.simhash import op9_covering_simhash
 
 QUERIES = {f.__name__: f for f in (
-    op1_soft_mixture, op2_divergence_rules, op5_stratified_shards, op7_markov_secrets, op8_spaced_seeds,
+    op1_soft_mixture, op2_divergence_rules, op3_elias_fano_bigrams, op4_bit_packing, op5_stratified_shards, op6_block_anchors, op7_markov_secrets, op8_spaced_seeds,
     op9_covering_simhash, op10_fused_language)}
 
 SQL: dict[str, str] = {}
