@@ -153,9 +153,9 @@ def score(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
     known after the first exchange; their pairs are dealt out by the context as well. The
     sums of a document are added up by Spark.
 
-    Null texts are empty: one end token. Null ids hold out (as the text None), but learn nothing
-    and share one row per such document only through their number: they are left out of the result
-    with ids, and scored as one. Repeated ids are summed as one document.
+    Null texts are empty: one end token. Rows without an id cannot be told
+    apart by the hold-out rule and are left out. Rows that repeat an id are one
+    document whose texts are summed. An empty table gives an empty one.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), filled(F.col("text")).alias("text")).filter("doc_id IS NOT NULL")
     shards = shard_count(rows)
