@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 SHARD_BYTES = 4 << 20  # of text per shard
 MIN_SHARDS = 256
-FLUSH = 1 << 21  # keys that a task collects before it ships them
+FLUSH = 1 << 19  # keys that a task collects before it ships them
 BLOB = "shard int, docs binary, sizes binary, keys binary, extra binary"
 
 
@@ -49,9 +49,10 @@ class Packer:
     def __init__(self, shards: int, width: int, extra: str = "<u1"):
         self.shards, self.width, self.extra, self.parts, self.held = shards, width, extra, [], 0
 
-    def add(self, doc: int, keys: np.ndarray, extra: np.ndarray, route: np.ndarray | None = None) -> None:
+    def add(self, doc: int, keys: np.ndarray, extra: np.ndarray | None = None, route: np.ndarray | None = None) -> None:
+        """``extra`` is for all calls or none; ``route`` decides the shard in place of the key."""
         if len(keys):
-            self.parts.append((doc, keys, extra, keys if route is None else route))
+            self.parts.append((doc, keys, np.empty(0) if extra is None else extra, keys if route is None else route))
             self.held += len(keys)
 
     def full(self) -> bool:
@@ -65,7 +66,8 @@ class Packer:
         self.parts, self.held = [], 0
         shard = shard_of(route, self.shards)
         order = np.argsort(shard, kind="stable")
-        shard, docs, keys, extra = shard[order], docs[order], keys[order], extra[order].astype(self.extra)
+        shard, docs, keys = shard[order], docs[order], keys[order]
+        extra = extra[order].astype(self.extra) if len(extra) else extra
         raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :self.width]
         bounds = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
         rows = []
@@ -113,7 +115,7 @@ def word_hashes(words: list[bytes], cache: dict, seed: int = 0) -> np.ndarray:
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    if len(cache) > 400_000:
+    if len(cache) > 200_000:
         cache.clear()
     for w in set(words):
         if w not in cache:

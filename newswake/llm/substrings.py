@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def _within(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == keys
 
 
-#: Bits of a key that travel: its low bytes; the shard stands for the high ones.
+#: Bytes of a key that travel: the low ones; the shard stands for the high ones. The low bit of an anchor is its mark.
 ANCHOR_BYTES, WINDOW_BYTES = 5, 8
 
 
@@ -91,13 +92,13 @@ def _low(keys: np.ndarray, width: int) -> np.ndarray:
     return keys & np.uint64((1 << 8 * width) - 1)
 
 
-def _full(shard: int, low: np.ndarray) -> np.ndarray:
+def _full(shard, low: np.ndarray) -> np.ndarray:
     """Shard and low bytes in one number, for keys of less than eight bytes."""
-    return low | (np.uint64(shard) << np.uint64(8 * ANCHOR_BYTES))
+    return low | (np.asarray(shard).astype(np.uint64) << np.uint64(8 * ANCHOR_BYTES))
 
 
 def _anchor_keys(keys: np.ndarray, shards: int) -> np.ndarray:
-    return _low(keys, ANCHOR_BYTES) | (shard_of(keys, shards).astype(np.uint64) << np.uint64(8 * ANCHOR_BYTES))
+    return _full(shard_of(keys, shards), _low(keys, ANCHOR_BYTES) & ~np.uint64(1))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -118,7 +119,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     3. The words that they cover are removed.
 
     Each exchange moves packed keys, once per document and key: copies meet as
-    one smallest id per key and never in pairs. Texts are shuffled once, and those with hits a second time.
+    one smallest id per key and never in pairs. Texts travel compressed, once, and those with hits a second time.
 
     Null texts have no words. A null id is removed nothing and is no
     reference. Rows that repeat an id are one document as to "smaller".
@@ -130,8 +131,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     groups = max(GROUPS, shards // 4)
     cache: dict = {}
 
-    def split(text: str) -> tuple[list[bytes], np.ndarray]:
-        words = text.encode("utf-8", "surrogatepass").split()
+    def split(text: str | bytes) -> tuple[list[bytes], np.ndarray]:
+        """Words of a text, or of one that travels compressed."""
+        raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else zstandard.decompress(text)
+        words = raw.split()
         return words, word_hashes(words, cache)
 
     def probe(batches):
@@ -143,21 +146,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 words, hashes = split(text)
                 if len(words) < window:
                     continue
-                runs = _rolling(hashes, block)
-                aligned = np.zeros(len(runs), np.uint8)
-                aligned[::block] = 1
+                runs = _rolling(hashes, block) & ~np.uint64(1)
                 keys, place = np.unique(runs, return_inverse=True)
-                flags = np.zeros(len(keys), np.uint8)
-                flags[place[aligned == 1]] = 1
-                packer.add(int(doc), keys, flags)
+                flags = np.zeros(len(keys), np.uint64)
+                flags[place[::block]] = 1
+                packer.add(int(doc), keys | flags)
                 if packer.full():
                     yield packer.frame()
         yield packer.frame()
 
     def meet(shard, blobs):
-        ids, keys, aligned = unpacked(blobs, ANCHOR_BYTES)
+        ids, keys, _ = unpacked(blobs, ANCHOR_BYTES)
         order = np.argsort(keys, kind="stable")
-        ids, keys, aligned = ids[order], keys[order], aligned[order] == 1
+        ids, keys = ids[order], keys[order]
+        aligned, keys = (keys & np.uint64(1)) == 1, keys & ~np.uint64(1)
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.append(starts, len(keys)))
         first = np.repeat(np.minimum.reduceat(np.where(aligned, ids, np.iinfo(np.int64).max), starts), sizes)
@@ -170,11 +172,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     homes = rows.select("doc_id", "text", F.lit(None).cast("int").alias("home"))
 
     def sent_home(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             ids = batch["doc_id"].fillna(0).to_numpy(np.int64)
-            yield batch.assign(home=_home(ids, groups))
+            texts = [squeeze(x.encode("utf-8", "surrogatepass")) for x in batch["text"]]
+            yield batch.assign(home=_home(ids, groups), text=texts)
 
-    homes = homes.mapInPandas(sent_home, "doc_id bigint, text string, home int")
+    homes = homes.mapInPandas(sent_home, "doc_id bigint, text binary, home int")
     result = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
     def candidates(runs_found: np.ndarray, n_windows: int) -> np.ndarray:
@@ -195,7 +199,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             marks = _within(_anchor_keys(_rolling(hashes, block), shards), own)
             wide = _rolling(hashes, window)
             keys = np.unique(wide[candidates(marks, len(wide))])
-            packer.add(int(doc), keys, np.zeros(len(keys), np.uint8))
+            packer.add(int(doc), keys)
             waiting.append((doc, text, home))
         out = pd.DataFrame(done, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).assign(kind=0)
         texts = pd.DataFrame(waiting, columns=["doc_id", "text", "home"]).assign(kind=1)
@@ -203,7 +207,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return frame.reindex(columns=["kind", "doc_id", "n_words", "n_removed", "kept_sha256", "text", "home", *[c.split()[0] for c in BLOB.split(", ")]]).astype(
             {"kind": "int32", "doc_id": "Int64", "n_words": "Int64", "n_removed": "Int64", "home": "Int32", "shard": "Int32"}).astype(object).where(lambda x: x.notna(), None)
 
-    columns = f"kind int, {result}, text string, home int, {BLOB}"
+    columns = f"kind int, {result}, text binary, home int, {BLOB}"
     state = written(homes.groupBy("home").cogroup(hits.groupBy("home")).applyInPandas(extend, columns), "extended")
 
     def confirm(shard, blobs):
