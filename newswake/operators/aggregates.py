@@ -10,10 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newswake.constants import (
-    MAX_EVENTS,
-    MAX_FIELD_VALUES,
     MAX_POSTS_PER_QUERY,
-    MAX_ROOT_POSTS,
     MIN_EVENT_POSTS,
     MIN_FIELD_POSTS,
 )
@@ -33,11 +30,11 @@ def post_events(posts: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def event_counts(posts: DataFrame, start=None, end=None, min_posts: int = MIN_EVENT_POSTS, limit: int = MAX_EVENTS):
-    """Posts per event dated in a range: the largest events first."""
+def event_counts(posts: DataFrame, start=None, end=None, min_posts: int = MIN_EVENT_POSTS, limit: int | None = None):
+    """Posts per event dated in a range; with a ``limit`` the largest events, in order (a report shows ``MAX_EVENTS``)."""
     in_range = post_events(posts).filter(date_range(F.col("event_date"), start, end))
     counts = in_range.groupBy("event_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_posts)
-    return counts.orderBy(F.desc("n"), "event_id").limit(limit)
+    return counts if limit is None else counts.orderBy(F.desc("n"), "event_id").limit(limit)
 
 
 def count_event_posts(posts: DataFrame, event_id: str) -> DataFrame:
@@ -56,9 +53,9 @@ def values(field: Column, is_array: bool) -> Column:
 
 
 def field_counts(
-    posts: DataFrame, field: str, event_id: str | None = None, min_posts: int = MIN_FIELD_POSTS, limit=MAX_FIELD_VALUES
+    posts: DataFrame, field: str, event_id: str | None = None, min_posts: int = MIN_FIELD_POSTS, limit: int | None = None
 ) -> DataFrame:
-    """How many posts of an event, or of every event, hold each value of a field."""
+    """How many posts of an event, or of every event, hold each value of a field; ``limit`` caps a report per event."""
     is_array = posts.schema[field].dataType.typeName() == "array"
     if event_id is not None:
         posts = posts.filter(has_event(F.col("events"), event_id))
@@ -74,12 +71,14 @@ def field_counts(
     return top_n_per_group(counts, ["event_id"], [F.desc("n"), F.asc("value")], limit, ["value"])
 
 
-def repost_groups(posts: DataFrame, event_id: str | None = None, limit: int | None = MAX_ROOT_POSTS) -> DataFrame:
+def repost_groups(posts: DataFrame, event_id: str | None = None, limit: int | None = None) -> DataFrame:
     """Per event and root post: how often it was posted, and the text with the smallest id.
 
-    All later text work runs on these representatives, weighted by ``n``.
+    All later text work runs on these representatives, weighted by ``n``. A
+    post counts once per event, also if two of its event structs share an id.
     """
-    rows = post_events(posts, "post_id", "root_id", "text")
+    ids = F.explode(F.array_distinct(F.transform("events", lambda e: e["id"])))
+    rows = posts.select("post_id", "root_id", "text", ids.alias("event_id"))
     if event_id is not None:
         rows = rows.filter(F.col("event_id") == event_id)
     groups = rows.groupBy("event_id", "root_id").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newswake.constants import MAX_FIELD_VALUES, MIN_FIELD_POSTS, MIN_TERM_TEXTS, STOP_WORDS
+from newswake.constants import MIN_FIELD_POSTS, MIN_TERM_TEXTS, STOP_WORDS
 from newswake.functions.text import remove_stopwords, strip_urls_mentions, term_grams, tokenize_terms
 from newswake.operators.aggregates import field_counts, post_events
 from newswake.operators.joins import one_per_element, salted_join
@@ -49,7 +49,7 @@ def event_text_matrix(groups: DataFrame, n_min: int = 2, n_max: int = 3, min_tex
 
 
 def event_hashtag_matrix(
-    posts: DataFrame, field: str = "hashtags", min_posts: int = MIN_FIELD_POSTS, limit: int | None = MAX_FIELD_VALUES
+    posts: DataFrame, field: str = "hashtags", min_posts: int = MIN_FIELD_POSTS, limit: int | None = None
 ) -> DataFrame:
     """Posts per event and hashtag value (the whole sorted set of a post, or single tags of an array field)."""
     counts = field_counts(posts, field, min_posts=min_posts, limit=limit)

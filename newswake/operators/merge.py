@@ -16,6 +16,8 @@ def reduce_captures(rows: DataFrame, key: str, order: str, arrays: list[str]) ->
     A key may be captured any number of times. The arrays are taken apart and
     each distinct element keeps the place of its first appearance, with
     partial aggregation; only then the distinct elements of a key meet.
+    Captures with equal ``order`` go by a hash of the row, so the result does
+    not depend on the order of the rows.
     """
     scalars = [c for c in rows.columns if c not in (key, order, *arrays)]
     element_types = {a: rows.schema[a].dataType.elementType.simpleString() for a in arrays}
@@ -31,10 +33,10 @@ def reduce_captures(rows: DataFrame, key: str, order: str, arrays: list[str]) ->
 
     parts = [F.array(entry()), *map(entries, arrays)]
     flat = rows.select(
-        key, order, F.struct(F.lit(True).alias("_stored"), *scalars).alias("scalars"), F.posexplode(F.concat(*parts)).alias("at", "part")
+        key, order, F.xxhash64(*rows.columns).alias("tie"), F.struct(F.lit(True).alias("_stored"), *scalars).alias("scalars"), F.posexplode(F.concat(*parts)).alias("at", "part")
     ).select(
         key,
-        F.struct(order, "at").alias("seen"),
+        F.struct(order, "tie", "at").alias("seen"),
         F.when(F.col("part.kind") == 0, F.col("scalars")).alias("scalars"),
         "part.*",
     )

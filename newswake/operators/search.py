@@ -46,7 +46,7 @@ def build_queries(rows: DataFrame) -> DataFrame:
 
 
 def event_search(posts: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
-    """Posts that hold all words of a query; one row per query row and post.
+    """Posts that hold all words of a query; one row per query row and post, however often the post was captured.
 
     Each query is looked up under its rarest word only, and the other words
     are tested on the posts found there. So the pairs formed are as many as
@@ -68,11 +68,11 @@ def event_search(posts: DataFrame, queries: DataFrame, text: str = "text") -> Da
     rarest = ranked.groupBy("needed").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r"))
     anchors = rarest.filter(F.col("r.n") > 0).select("needed", F.col("r.word").alias("word"))
 
-    pairs = sized_join(found, anchors, ["word"], ["post_id"]).select("post_id", "needed")
+    pairs = sized_join(found, anchors, ["word"], ["post_id"]).select("post_id", "needed").distinct()
     # A post is in one row of tokens, so beyond the broadcast size this is a plain join on unique ids.
     both = sized_join(tokens, pairs, ["post_id"], ["post_id"], salts=1)
     matches = both.filter(all_words(F.col("tokens"), F.col("needed")))
-    return counted_join(matches.select("post_id", "needed"), asked, ["needed"], ["post_id"]).drop("needed")
+    return counted_join(matches.select("post_id", "needed").distinct(), asked, ["needed"], ["post_id"]).drop("needed")
 
 
 def collected(posts: DataFrame, matches: DataFrame, event: str = "event") -> DataFrame:

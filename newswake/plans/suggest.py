@@ -10,18 +10,22 @@ from newswake.functions.text import canonical_term
 from newswake.functions.timing import day_window, event_window
 from newswake.operators.aggregates import event_counts, field_counts, repost_groups
 from newswake.operators.features import event_hashtag_matrix, event_text_matrix, number_of_events, tfidf, top_term_per_event
+from newswake.operators.joins import salted_join
 from newswake.operators.search import term_not_in_tags
 from newswake.session import written
 
 
 def posts_of_events(posts: DataFrame, events: DataFrame) -> DataFrame:
-    """The posts with only those of their events that are listed.
+    """The posts with only those of their events that are listed; one row per post and event id.
 
-    Listed events are a report of limited size, so Spark broadcasts them.
+    The list may be of any length, so the join is salted: Spark broadcasts a
+    list that it measures to be small, and else spreads the posts of an event.
     """
     columns = [c for c in posts.columns if c != "events"]
-    rows = posts.select(*columns, F.explode("events").alias("event")).withColumn("event_id", F.col("event.id"))
-    kept = rows.join(events.select("event_id"), "event_id", "left_semi")
+    ids = F.transform("events", lambda e: e["id"])
+    firsts = F.filter("events", lambda e, i: F.array_position(ids, e["id"]) == i + 1)
+    rows = posts.select(*columns, F.explode(firsts).alias("event")).withColumn("event_id", F.col("event.id"))
+    kept = salted_join(rows, events.select("event_id").distinct(), ["event_id"], ["post_id"], how="left_semi")
     return kept.select(*columns, F.array("event").alias("events"))
 
 

@@ -104,7 +104,7 @@ def path_metadata(file: Column) -> dict[str, Column]:
     A folder is the event id and the title words, in either order, joined by
     ``_``; a film folder is the film's name.
     """
-    path = F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
+    path = F.coalesce(F.try_url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), file)
     folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
     name = F.regexp_extract(path, r"([^/]+)$", 1)
     id = F.regexp_extract(folder, EVENT_ID, 0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,8 +15,8 @@ from newswake.sources.captures import parse_lines
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Capture lines of a growing folder, with the time their file arrived."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    """Capture lines of a growing folder, with the time their file arrived. No file is too old to be read."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", "36500d").text(path)
     return lines.select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file"),
@@ -76,17 +76,27 @@ def run_to_end(query: StreamingQuery) -> None:
 
 
 def ingest(spark: SparkSession, source: str, path: str, checkpoint: str) -> DataFrame:
-    """Capture files to one store with a folder per kind of line, without repeats; returns what is stored.
+    """Capture files to one store with a folder per kind of line; returns what is stored, without repeats.
 
-    ``kind`` is ``post``, ``delete`` or ``bad``. Stored posts are merged into
-    the table of posts by ``upsert_live``, and the notices are taken out with
-    ``apply_deletes``.
+    ``kind`` is ``post``, ``delete`` or ``bad``. Every line is stored, whatever
+    the time of its file: repeats are left out by key when the store is read,
+    and no watermark drops a line that comes late. Stored posts are merged
+    into the table of posts by ``upsert_live``, and the notices are taken out
+    with ``apply_deletes``.
     """
-    parsed = parse_lines(read_stream(spark, source))
-    known = parsed.withColumn("key", F.coalesce(F.col("post_id").cast("string"), "line"))
-    once = stream_dedup(known, ["kind", "key"], "arrived_at").drop("key")
-    run_to_end(store_stream(once, path, checkpoint, ["kind"]))
-    return spark.read.parquet(path)
+    run_to_end(store_stream(parse_lines(read_stream(spark, source)), path, checkpoint, ["kind"]))
+    return first_lines(spark.read.parquet(path))
+
+
+def first_lines(stored: DataFrame) -> DataFrame:
+    """The first stored line of each post and each notice, and every different rejected line.
+
+    First is the line whose file arrived first; ties go by file and line.
+    """
+    key = F.when(F.col("kind") == "bad", F.col("line")).otherwise(F.coalesce(F.col("post_id").cast("string"), F.col("line")))
+    order = Window.partitionBy("kind", "_key").orderBy("arrived_at", "file", "line")
+    ranked = stored.withColumn("_key", key).withColumn("_turn", F.row_number().over(order))
+    return ranked.filter("_turn = 1").drop("_key", "_turn")
 
 
 def apply_deletes(posts: DataFrame, stored: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """A stream gives what a batch over the same files gives."""
 
 import json
+import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -53,3 +55,20 @@ def test_files_of_bounded_size(spark, tmp_path):
     I.run_to_end(I.rotating_sink(rows, str(tmp_path / "out"), str(tmp_path / "check"), 10))
     sizes = sorted(len(f.read_text().splitlines()) for f in (tmp_path / "out").glob("*.txt"))
     assert sizes == [5, 10, 10]
+
+
+def test_late_files_are_kept(spark, tmp_path):
+    """Files stamped hours or months before those already read lose nothing."""
+    source = tmp_path / "in"
+    run = lambda: I.ingest(spark, str(source), str(tmp_path / "out"), str(tmp_path / "check"))
+    now = time.time()
+    for k, age in enumerate([0, 7200, 86400 * 90]):
+        add(source, f"{k}.json", lines(10 * k, 10))
+        os.utime(source / f"{k}.json", (now - age, now - age))
+        assert run().count() == 10 * (k + 1)
+
+
+def test_every_rejected_line_is_reported(spark, tmp_path):
+    source = tmp_path / "in"
+    add(source, "a.json", ['[1, 7, {"id": 7}]', '[2, 7, {"id": 7}]', '[2, 7, {"id": 7}]'])
+    assert I.ingest(spark, str(source), str(tmp_path / "out"), str(tmp_path / "check")).filter("kind = 'bad'").count() == 2
