@@ -120,32 +120,52 @@ def solve(members: DataFrame, targets: dict[str, float], steps: int = STEPS, tol
     domains, sum of rate * n_tokens * p, and their targets, scaled by the
     inverse of sum of n_tokens * p p'. In the metric that weighs a rate by
     its document's tokens the gradient of a document is p . y, with one
-    vector y for all: so a step is a few numbers, the rates never have to be
-    stored, and a step of 1 is stable. Each round is one sum over the rows.
-    It ends at ``steps``, at the tolerance, or when a round gains less than a
-    thousandth of it.
+    vector y for all: so a step is a few numbers, and the rates never have to
+    be stored. A step is scaled by the sum over the rows whose rate is not yet
+    0; one that raises the loss is taken back and made shorter. Each round is
+    one sum over the rows. It ends at ``steps``, at the tolerance, or when a
+    round gains next to nothing.
     """
     d = len(targets)
-    token = F.col("n_tokens").cast("double")
-    cross = members.agg(F.sum(token).alias("t"), *[
-        F.sum(token * F.col("p")[i] * F.col("p")[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)]).first()
-    if not cross["t"]:
-        return []
-    matrix = np.array([[cross[f"c{max(i, j)}_{min(i, j)}"] for j in range(d)] for i in range(d)])
-    inverse = np.linalg.pinv(matrix + 1e-9 * cross["t"] * np.eye(d))
+    token, p = F.col("n_tokens").cast("double"), F.col("p")
+    upper = [(i, j) for i in range(d) for j in range(i + 1)]
     shares = np.array(list(targets.values()), float)
-    wanted = shares / shares.sum() * cross["t"]
+
+    def sums(taken: list[list[float]]) -> tuple[float, np.ndarray, np.ndarray]:
+        """All tokens, expected tokens of the domains, and the matrix over the rows whose rate can still fall."""
+        rows = members.select(token.alias("t"), "p", rate(p, taken).alias("r"))
+        open_ = F.when(F.col("r") > 0, F.col("t")).otherwise(0.0)
+        got = rows.agg(
+            F.sum("t"), *[F.sum(F.col("r") * F.col("t") * p[k]) for k in range(d)], *[F.sum(open_ * p[i] * p[j]) for i, j in upper]).first()
+        matrix = np.zeros((d, d))
+        for (i, j), x in zip(upper, got[1 + d:], strict=True):
+            matrix[i, j] = matrix[j, i] = x or 0.0
+        return got[0] or 0.0, np.array([x or 0.0 for x in got[1:1 + d]]), matrix
+
+    total, got, whole = sums([])
+    if not total:
+        return []
+    wanted = shares / shares.sum() * total
+    ridge = 1e-9 * total * np.eye(d)
     taken: list[list[float]] = []
-    last = np.inf
+    scaled = np.linalg.pinv(whole + ridge)
+    matrix, length, last = whole, 1.0, np.inf
     for _ in range(steps):
-        r = rate(F.col("p"), taken)
-        got = np.array(members.agg(*[F.sum(r * token * F.col("p")[k]) for k in range(d)]).first(), float)
-        off = np.abs(got - wanted).max() / cross["t"]
-        if off <= tolerance or last - off < tolerance / 1000:
-            break
-        last = off
-        taken.append((inverse @ (got - wanted)).tolist())
-    return taken
+        off = got - wanted
+        loss = float(off @ scaled @ off) / total
+        if loss > last:  # the step went too far: take it back, and go on with a shorter one
+            taken.pop()
+            length /= 4
+            _, got, matrix = sums(taken)
+            off = got - wanted
+        else:
+            if np.abs(off).max() / total <= tolerance or last - loss < tolerance ** 2:
+                return taken
+            length, last = min(1.0, 2 * length), loss
+        taken.append((length * (np.linalg.pinv(matrix + ridge) @ off)).tolist())
+        _, got, matrix = sums(taken)
+    off = got - wanted
+    return taken[:-1] if float(off @ scaled @ off) / total > last else taken
 
 
 def plan(

