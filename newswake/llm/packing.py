@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ MAGIC = b"BITPACK1"
 BLOCK = 4096  # ids in a block
 END = 2
 _encoders: dict = {}
-_UNSAFE = re.compile(r"^ |\s ")  # a blank at the start or after white space
-_UNSAFE_CUT = re.compile(r"(?<=\S) ")
+PORTION = 6_000_000  # characters that are encoded at once
+_UNSAFE = re.compile(r"^ |\s(?: |\Z)")  # a blank at the start or after white space, or white space at the end
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -92,45 +94,78 @@ class PackedFile:
 
 
 def _encoder(path: str):
+    """The tokenizer of a file, and which of its tokens start with a blank."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _encoders:
         from tokenizers import Tokenizer
 
-        _encoders[path] = Tokenizer.from_file(path), {}
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        _encoders[path] = tokenizer, opens
     return _encoders[path]
 
 
+def _each(tokenizer, texts: list[str]) -> list[np.ndarray]:
+    return [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _words(tokenizer, opens: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words with a blank before each, one after the other, and how many each has."""
+    some = _each(tokenizer, ["".join([f" {w}" for w in words[at:at + 500]]) for at in range(0, len(words), 500)])
+    ids = np.concatenate([np.empty(0, np.uint32), *some])
+    starts = np.flatnonzero(opens[ids])
+    if len(starts) == len(words):
+        return ids, np.diff(starts, append=len(ids))
+    apart = _each(tokenizer, [f" {w}" for w in words])
+    return np.concatenate(apart), np.array([len(x) for x in apart], np.int64)
+
+
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Token ids of each text, by the tokenizers library without special tokens.
 
     A byte-level BPE always ends a token before a blank that follows no white
-    space, so a text is cut there and each different piece is encoded once.
+    space. So texts are cut at blanks and each different word is encoded once
+    for all of ``texts``: the first word of a text without a blank before it,
+    the others with one. Texts in which a blank follows white space, or that
+    end with white space, are encoded as they are.
     """
-    encoder, known = _encoder(path)
-    if len(known) > 400_000:
-        known.clear()
-    cut = [_pieces(text) for text in texts]
-    new = list(set().union(*cut).difference(known))
-    for at in range(0, len(new), 5_000):
-        some = new[at:at + 5_000]
-        # One call with many pieces, each a word of its own: word_ids tells which piece a token is of.
-        whole = encoder.encode([" " + p[1:] if p[0] == "_" else p[1:] for p in some], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(whole.ids, "<u4")
-        sizes = np.bincount(np.array(whole.word_ids, np.int64), minlength=len(some))
-        ends = np.cumsum(sizes).tolist()
-        raw = ids.tobytes()
-        known.update(zip(some, (raw[4 * (e - n):4 * e] for e, n in zip(ends, sizes.tolist(), strict=True)), strict=True))
-    return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4") for pieces in cut]
-
-
-def _pieces(text: str) -> list[str]:
-    """The pieces of a text, marked "_" if a blank stands before them and "^" if not."""
-    if not text:
+    tokenizer, opens = _encoder(path)
+    whole = [not text or _UNSAFE.search(text) is not None for text in texts]
+    out = iter(_each(tokenizer, [t for t, w in zip(texts, whole, strict=True) if w]))
+    cut = iter(_by_words(tokenizer, opens, [t for t, w in zip(texts, whole, strict=True) if not w]))
+    return [next(out if w else cut) for w in whole]
+
+
+def _by_words(tokenizer, opens: np.ndarray, texts: list[str]) -> list[np.ndarray]:
+    if not texts:
         return []
-    if not _UNSAFE.search(text):
-        return ("^" + text.replace(" ", " _")).split(" ")
-    parts = _UNSAFE_CUT.split(text)
-    return ["^" + parts[0], *["_" + p for p in parts[1:]]]
+    cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    bounds = cut.offsets.to_numpy().astype(np.int64)
+    coded = cut.values.dictionary_encode()
+    words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    heads, head = np.unique(code[bounds[:-1]], return_inverse=True)
+    ids, sizes = _words(tokenizer, opens, words)
+    first = _each(tokenizer, [words[k] for k in heads])
+    code[bounds[:-1]] = len(words) + head
+    ids, sizes = np.concatenate([ids, *first]), np.concatenate([sizes, [len(x) for x in first]])
+    n = sizes[code]
+    ends = np.cumsum(n)
+    flat = ids[np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - n), n) + np.arange(ends[-1])]
+    return np.split(flat, ends[bounds[1:-1] - 1])
+
+
+def _portions(texts: list[str], size: int = PORTION) -> Iterator[slice]:
+    """Slices of about ``size`` characters; a longer text is one of its own."""
+    start = held = 0
+    for k, text in enumerate(texts):
+        if held and held + len(text) > size:
+            yield slice(start, k)
+            start, held = k, 0
+        held += len(text)
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def write_packed(docs: DataFrame, path: str, folder: str, end: int = END, width: int | None = None) -> DataFrame:
@@ -152,9 +187,9 @@ def write_packed(docs: DataFrame, path: str, folder: str, end: int = END, width:
 
         out: list[tuple[int | None, np.ndarray]] = []
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at:at + 500]
-                for i, ids in zip(part["doc_id"], encode(part["text"].tolist(), path), strict=True):
+            doc_ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+            for part in _portions(texts):
+                for i, ids in zip(doc_ids[part], encode(texts[part], path), strict=True):
                     out.append((None if pd.isna(i) else int(i), np.append(ids, np.uint32(end)).astype(np.uint16 if width <= 16 else np.uint32)))
         if not out:
             return
