@@ -24,7 +24,7 @@ MAGIC = b"BITPACK1"
 BLOCK = 4096  # ids in a block
 END = 2
 _encoders: dict = {}
-PORTION = 6_000_000  # characters that are encoded at once
+PORTION = 16_000_000  # characters that are encoded at once
 _UNSAFE = re.compile(r"^ |\s(?: |\Z)")  # a blank at the start or after white space, or white space at the end
 
 
@@ -212,8 +212,9 @@ def read_packed(parts: DataFrame) -> DataFrame:
 
     The rows of ``parts`` are one per file; only their sizes are summed in one task.
     """
+    n_files = max(1, parts.count())  # given, so that small rows with large files behind them are not put into one task
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    files = parts.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start")).repartition("file")
+    files = parts.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start")).repartition(n_files, "file")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.fs
