@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from newswake.llm.packing import PackedFile, encode, file_bytes, pack, read_packed, unpack, write_packed
+from newswake.llm.packing import PackedFile, _portions, encode, file_bytes, pack, read_packed, unpack, write_packed
 
 from .conftest import SF_DIR
 
@@ -56,3 +56,18 @@ def test_edges(spark, docs, tmp_path):
     want = list(expected(sorted(rows, key=lambda r: -1 if r[0] is None else r[0])))
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert read_packed(write_packed(docs(), PATH, f"file://{tmp_path}/b")).count() == 0
+
+
+def test_words_of_a_portion_are_shared():
+    encoder = Tokenizer.from_file(PATH)
+    texts = ["", "same same same", "same", "a\x85 b", "a  b", "\nhead tail", "tail\nhead x", "end\n", "Ġa Ġb", "日本 語 😀 x\x00y z", *ODD, "w " * 3 + "w"]
+    assert [x.tolist() for x in encode(texts, PATH)] == [encoder.encode(x, add_special_tokens=False).ids for x in texts]
+    assert encode([], PATH) == []
+
+
+def test_portions_cover_all_texts():
+    texts = ["a" * 5, "", "b" * 30, "c" * 4, "d" * 6, ""]
+    parts = list(_portions(texts, 10))
+    assert [x for s in parts for x in texts[s]] == texts
+    assert all(len(texts[s]) == 1 or sum(map(len, texts[s])) <= 10 for s in parts)
+    assert list(_portions([])) == []
