@@ -147,7 +147,11 @@ def first_of_group(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFr
 
     Repeated rows of one id leave the one with the smallest text. Rows without an id stay.
     """
-    found = near_duplicates(docs, radius, shingle)
+    return firsts(docs, near_duplicates(docs, radius, shingle))
+
+
+def firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents without those whose component in ``found`` has a smaller id."""
     gone = written(found.filter("id <> component").select(F.col("id").alias("doc_id")).distinct(), "copies")
     rest = docs.join(gone, "doc_id", "left_anti")
     alone = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
