@@ -40,11 +40,11 @@ def overlaps(
 
     Tokens are compared without case and punctuation. Every place of every document is hashed
     under each mask and joined with the places of the items. A hit fixes how
-    the two lie to each other; along that line the stretch is sought in which
-    agreeing tokens (+1) outweigh differing ones (-2) most. It counts with
-    ``min_matched`` agreeing tokens (0.8 of an item that is shorter) and a
-    share of ``min_share``. So substitutions are tolerated, but no stretch
-    without some seed of agreeing places.
+    the two lie to each other; along that line the stretch with most agreeing
+    tokens is sought among all in which their share is ``min_share`` or more.
+    It counts with ``min_matched`` agreeing tokens (0.8 of an item that is
+    shorter). So substitutions are tolerated, but no stretch without some
+    seed of agreeing places.
 
     Items with fewer tokens than the long masks are sought with the short
     ones, if there are any; items shorter than those say nothing and match
@@ -81,10 +81,9 @@ def overlaps(
         F.slice("t", F.greatest(x["line"], F.lit(0)) + 1, x["size"]).alias("part")))).alias("x")).select("doc_id", "x.*")
     both = cut.join(tests, "item_id").withColumn("size", F.size("t"))
     equal = F.zip_with("part", F.slice("t", F.col("item_from") + 1, F.size("part")), lambda a, b: F.coalesce(a == b, F.lit(False)))
-    rated = both.select("doc_id", "item_id", "line", "item_from", "size", _best_stretch(equal).alias("best"))
+    rated = both.select("doc_id", "item_id", "line", "item_from", "size", _best_stretch(equal, min_share).alias("best"))
     length = F.col("best.end") - F.col("best.start")
-    good = (F.col("best.matched") >= F.least(F.lit(min_matched), F.ceil(0.8 * F.col("size")))) & (
-        F.col("best.matched") >= min_share * length)
+    good = F.col("best.matched") >= F.least(F.lit(min_matched), F.ceil(0.8 * F.col("size")))
     start = F.col("item_from") + F.col("best.start")
     best = rated.filter(good).groupBy("doc_id", "item_id").agg(F.max(F.struct(
         F.col("best.matched").alias("n_matched"), (-length).alias("shorter"), (-(start + F.col("line"))).alias("earlier"),
@@ -94,23 +93,33 @@ def overlaps(
         (-F.col("b.earlier")).alias("start"), (-F.col("b.item_earlier")).alias("item_start"))
 
 
-def _best_stretch(equal: Column) -> Column:
-    """The stretch with the largest score, the first of equals: its start, end and agreeing tokens."""
-    zero = F.lit(0)
-    empty = F.struct(*[zero.alias(x) for x in ("at", "score", "from", "hits", "best", "start", "end", "matched")])
+def _best_stretch(equal: Column, min_share: float) -> Column:
+    """Of all stretches with that share of agreeing tokens, the one with most of them, then the shortest, then the first: its start, end and agreeing tokens.
 
-    def step(s: Column, same: Column) -> Column:
-        fresh = s["score"] <= 0
-        score = F.when(fresh, 0).otherwise(s["score"]) + F.when(same, 1).otherwise(-2)
-        first = F.when(fresh, s["at"]).otherwise(s["from"])
-        hits = F.when(fresh, 0).otherwise(s["hits"]) + F.when(same, 1).otherwise(0)
-        more = score > s["best"]
-        return F.struct(
-            (s["at"] + 1).alias("at"), score.alias("score"), first.alias("from"), hits.alias("hits"),
-            F.when(more, score).otherwise(s["best"]).alias("best"), F.when(more, first).otherwise(s["start"]).alias("start"),
-            F.when(more, s["at"] + 1).otherwise(s["end"]).alias("end"), F.when(more, hits).otherwise(s["matched"]).alias("matched"))
-
-    return F.aggregate(equal, empty, step, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["matched"].alias("matched")))
+    From the a-th to the b-th agreeing token, at places m(a) and m(b), there are
+    b - a + 1 of m(b) - m(a) + 1. The share suffices if q(a) = a - min_share * m(a)
+    is at most q(b) + 1 - min_share, in thousandths. The first such a is where
+    q falls below all before it; only those are remembered.
+    """
+    share = round(1000 * min_share)
+    places = F.filter(F.transform(equal, lambda same, at: F.when(same, at)), lambda x: x.isNotNull())
+    low = "array<struct<q: bigint, at: int, place: int>>"
+    best = "struct<matched: int, shorter: int, start: int>"
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(low).alias("low"), F.struct(*[F.lit(0)] * 3).cast(best).alias("best"))
+
+    def step(s: Column, place: Column) -> Column:
+        q = (1000 * s["at"] - share * place).cast("bigint")
+        fresh = F.array(F.struct(q.alias("q"), s["at"].alias("at"), place.alias("place"))).cast(low)
+        known = F.when((F.size(s["low"]) == 0) | (q < F.element_at(s["low"], -1)["q"]), F.concat(s["low"], fresh)).otherwise(s["low"])
+        first = F.slice(F.filter(known, lambda r: r["q"] <= q + 1000 - share), 1, 1)
+        own = F.transform(first, lambda r: F.struct(
+            (s["at"] - r["at"] + 1).alias("matched"), (r["place"] - place - 1).alias("shorter"), r["place"].alias("start")).cast(best))[0]
+        more = (own["matched"] > s["best"]["matched"]) | (
+            (own["matched"] == s["best"]["matched"]) & (own["shorter"] > s["best"]["shorter"]))
+        return F.struct((s["at"] + 1).alias("at"), known.alias("low"), F.when(more, own).otherwise(s["best"]).alias("best"))
+
+    return F.aggregate(places, empty, step, lambda s: F.struct(
+        s["best"]["start"].alias("start"), (s["best"]["start"] - s["best"]["shorter"]).alias("end"), s["best"]["matched"].alias("matched")))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
