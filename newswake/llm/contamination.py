@@ -11,6 +11,9 @@ from newswake.session import written
 #: Fixed masks: a 1 is a token that must agree, a 0 one that is ignored (parameters).
 MASKS = ("110110101101", "101101110011")
 SHORT_MASKS = ("110111", "111011")  # for items with fewer tokens than a long mask
+#: Besides those: every stretch that counts has a seed of one of these masks, found by search over all patterns (tests/llm/test_contamination_recall.py).
+COVERING = ("111111", "11010111", "111100101", "1110100011")
+SHORT_COVERING = ("11101", "100111")
 MIN_MATCHED = 10  # agreeing tokens of an overlap, or 0.8 of a shorter item
 MIN_SHARE = 0.8  # of the tokens of an overlap that agree
 MAX_BROADCAST = 1_000_000  # seeds of three numbers: 24 MB
@@ -22,18 +25,21 @@ def tokens(text: Column) -> Column:
 
 
 def _seeds(rows: DataFrame, keys: list[str], masks: tuple[str, ...], n: Column) -> DataFrame:
-    """A row per token place and mask: the keys, ``place`` and ``seed``. The tokens themselves are not copied."""
-    span = len(masks[0])
+    """A row per token place and mask that fits there: the keys, ``place`` and ``seed``. The tokens themselves are not copied."""
+    span, least = max(map(len, masks)), min(map(len, masks))
     t = F.col("t")
     shifted = F.arrays_zip(*[(t if k == 0 else F.slice(t, k + 1, F.greatest(n, F.lit(1)))).alias(f"t{k}") for k in range(span)])
-    places = rows.filter(n >= span).select(*keys, F.posexplode(F.slice(shifted, 1, F.greatest(n - span + 1, F.lit(0)))).alias("place", "w"))
+    places = rows.filter(n >= least).select(*keys, F.posexplode(F.slice(shifted, 1, F.greatest(n - least + 1, F.lit(0)))).alias("place", "w"))
+    # A mask that reaches beyond the last token has no seed: its last place is a 1, and that token is null.
     hashes = F.array(*[
-        F.xxhash64(F.lit(f"{m}"), *[F.col(f"w.t{k}") for k in range(span) if mask[k] == "1"]) for m, mask in enumerate(masks)])
-    return places.select(*keys, "place", F.explode(hashes).alias("seed"))
+        F.when(F.col(f"w.t{len(mask) - 1}").isNotNull(), F.xxhash64(F.lit(mask), *[F.col(f"w.t{k}") for k in range(len(mask)) if mask[k] == "1"]))
+        for mask in masks])
+    return places.select(*keys, "place", F.explode(hashes).alias("seed")).filter("seed IS NOT NULL")
 
 
 def overlaps(
     docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, short_masks: tuple[str, ...] = SHORT_MASKS,
+    covering: tuple[str, ...] = COVERING, short_covering: tuple[str, ...] = SHORT_COVERING,
     min_matched: int = MIN_MATCHED, min_share: float = MIN_SHARE, max_broadcast: int = MAX_BROADCAST,
 ) -> DataFrame:
     """(doc_id, item_id, n_matched, n_tokens, start, item_start): the best overlap of each document and test item.
@@ -43,8 +49,8 @@ def overlaps(
     the two lie to each other; along that line the stretch with most agreeing
     tokens is sought among all in which their share is ``min_share`` or more.
     It counts with ``min_matched`` agreeing tokens (0.8 of an item that is
-    shorter). So substitutions are tolerated, but no stretch without some
-    seed of agreeing places.
+    shorter). ``covering`` and ``short_covering`` are masks of which every
+    such stretch has a seed at the default limits, so none is missed.
 
     Items with fewer tokens than the long masks are sought with the short
     ones, if there are any; items shorter than those say nothing and match
@@ -60,9 +66,9 @@ def overlaps(
     tests = written(split(items, "item_id"), "items")
     n = F.size("t")
     span, short = len(masks[0]), len(short_masks[0])
-    parts = [(masks, tests.filter(n >= span))]
+    parts = [((*masks, *covering), tests.filter(n >= span))]
     if not tests.filter((n < span) & (n >= short)).isEmpty():
-        parts.append((short_masks, tests.filter((n < span) & (n >= short))))
+        parts.append(((*short_masks, *short_covering), tests.filter((n < span) & (n >= short))))
 
     texts = split(docs, "doc_id")
     found = None
