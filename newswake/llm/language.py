@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newswake.llm.common import table
+from newswake.operators.joins import top_n_per_group
 from newswake.session import written
 
 BUCKETS = 1 << 14  # of hashed byte trigrams
-MAX_TRAINING = 20_000  # documents that the text model is fitted on
-MIN_TRAINING = 10  # documents of a language, so there are at most MAX_TRAINING / MIN_TRAINING languages
+MAX_TRAINING = 20_000  # documents that the text model is fitted on, in equal parts per language
+MIN_TRAINING = 10  # documents of a language in the whole table, and at least as many of it in the sample
 TEXT_WEIGHT = 60  # trigrams that a text may weigh at most: neighbours are not independent
 TRUST = 0.9  # that a declared language is right
 PRIOR_WEIGHT = 20.0  # documents that the level above counts for
@@ -35,6 +36,10 @@ def _grams(text: str) -> np.ndarray:
     return (code * np.uint32(2654435761) >> np.uint32(18)).astype(np.int64)
 
 
+#: A text with a trigram has a letter, or a character that is not ASCII.
+_LETTER = r"[A-Za-z]|[^\x00-\x7F]"
+
+
 def declared(tag: Column) -> Column:
     """The primary part of a language tag in lower case; null if there is none."""
     return F.nullif(F.regexp_extract(F.lower(F.trim(tag)), "^([a-z]{2,8})([-_].*)?$", 1), F.lit(""))
@@ -46,43 +51,49 @@ def suffix(host: Column) -> Column:
 
 
 def train(rows: DataFrame, max_rows: int = MAX_TRAINING, min_rows: int = MIN_TRAINING) -> tuple[list[str], np.ndarray]:
-    """The languages and log P(trigram | language), from a bounded sample of rows with a declared language.
+    """The languages and log P(trigram | language), and in a last column log P(trigram | any of them).
 
-    The sample is the ``max_rows`` rows with the smallest hash of their id.
-    It is broadcast as ids only; the trigrams are counted where the texts are.
+    Every declared language with ``min_rows`` rows or more, counted over the
+    whole table, is one. The text model is fitted on a bounded sample: of each
+    language the rows with the smallest hashes of their id, ``max_rows`` in
+    equal parts, but ``min_rows`` of each at least. The sample is broadcast as
+    ids only; the trigrams are counted where the texts are.
     """
-    labelled = rows.select("id", declared(F.col("tag")).alias("tag")).filter("id IS NOT NULL AND tag IS NOT NULL")
-    chosen = labelled.orderBy(F.xxhash64("id"), "id", "tag").limit(max_rows).distinct()
-    texts = rows.select("id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "id")
+    usable = F.col("text").rlike(_LETTER) & F.col("id").isNotNull() & F.col("tag").isNotNull()
+    labelled = rows.select("id", declared(F.col("tag")).alias("tag"), "text").filter(usable)
+    languages = sorted(r.tag for r in labelled.groupBy("tag").count().filter(F.col("count") >= min_rows).collect())
+    if not languages:
+        return [], np.empty((BUCKETS, 0), np.float32)
+    each = max(max_rows // len(languages), min_rows)
+    ids = labelled.filter(F.col("tag").isin(languages)).select("id", "tag").distinct()
+    chosen = top_n_per_group(ids, ["tag"], [F.xxhash64("id"), F.col("id")], each, ["id"])
+    texts = labelled.join(F.broadcast(chosen), ["id", "tag"])
 
     def count(batches):
         for batch in batches:
             for tag, own in batch.groupby("tag"):
                 counts = np.zeros(BUCKETS, np.int64)
-                used = 0
                 for text in own["text"]:
-                    grams = _grams(text)
-                    used += len(grams) > 0
-                    counts += np.bincount(grams, minlength=BUCKETS)
+                    counts += np.bincount(_grams(text), minlength=BUCKETS)
                 seen = np.flatnonzero(counts)
-                yield pd.DataFrame({
-                    "tag": tag, "gram": np.append(seen, -1).astype(np.int64), "n": np.append(counts[seen], used)})
+                yield pd.DataFrame({"tag": tag, "gram": seen, "n": counts[seen]})
 
     counted = texts.mapInPandas(count, "tag string, gram bigint, n bigint").groupBy("tag", "gram").agg(F.sum("n").alias("n"))
     found = counted.toPandas()
-    sizes = found[found.gram == -1].set_index("tag").n
-    languages = sorted(sizes[sizes >= min_rows].index)
-    weights = np.empty((BUCKETS, len(languages)), np.float32)
+    weights = np.empty((BUCKETS, len(languages) + 1), np.float32)
+    pooled = np.zeros(BUCKETS)
     for k, tag in enumerate(languages):
-        own = found[(found.tag == tag) & (found.gram >= 0)]
+        own = found[found.tag == tag]
         counts = np.full(BUCKETS, 0.5)
         counts[own.gram.to_numpy()] += own.n.to_numpy()
+        pooled += counts / counts.sum() / len(languages)
         weights[:, k] = np.log(counts / counts.sum())
+    weights[:, -1] = np.log(pooled)
     return languages, weights
 
 
 def _text_evidence(rows: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(id, host, tag, grams, ll): the log-likelihood of the text per language, weighing at most TEXT_WEIGHT trigrams."""
+    """(id, host, tag, grams, ll): the log-likelihood of the text per column of the weights, weighing at most TEXT_WEIGHT trigrams."""
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches):
@@ -126,8 +137,10 @@ def identify(
 
     A document is kept if its best language has a posterior of
     ``min_confidence`` or more. Empty or null texts, or texts without a letter, have
-    no evidence and are not kept (language null). A tag that is null or no
-    known language says nothing; a null host is a host of its own. Repeated
+    no evidence and are not kept (language null). A null tag says nothing. A
+    tag of a language with too few rows for a model says with ``trust`` that
+    the text is in none of the modelled ones; such a text is held against all
+    of them together, which takes from the confidence. A null host is a host of its own. Repeated
     rows stay, and every row counts; an empty table gives an empty one.
     """
     languages, weights = train(rows, max_training, min_training)
@@ -143,9 +156,12 @@ def identify(
     texts = _text_evidence(rows, weights)
     other = math.log((1 - trust) / max(len(languages) - 1, 1))
     said = F.array(*[
-        F.when(F.col("tag") == x, math.log(trust)).when(F.col("tag").isin(languages), other).otherwise(0.0) for x in languages])
+        F.when(F.col("tag") == x, math.log(trust)).when(F.col("tag").isin(languages), other).when(
+            F.col("tag").isNotNull(), math.log(1 - trust)).otherwise(0.0) for x in languages])
+    unmodelled = F.when(F.col("tag").isNotNull() & ~F.col("tag").isin(languages), F.element_at("ll", -1) + math.log(trust))
     evidence = written(texts.select(
-        "id", "host", suffix(F.col("host")).alias("suffix"), "grams", F.zip_with("ll", said, lambda a, b: a + b).alias("scores"),
+        "id", "host", suffix(F.col("host")).alias("suffix"), "grams", unmodelled.alias("other"),
+        F.zip_with(F.slice("ll", 1, len(languages)), said, lambda a, b: a + b).alias("scores"),
     ).withColumn("first", _place_of_best(F.col("scores"))), "evidence")
 
     # Counts per host, from the rows; everything above is a sum of them.
@@ -164,9 +180,9 @@ def identify(
     priors = hosts.join(suffixes, "suffix").select(
         "host", smoothed([F.col("above")[k] for k in range(len(languages))]).alias("prior"))
     fused = evidence.join(written(priors, "priors"), "host").select(
-        "id", "grams", _fused(F.col("scores"), F.col("prior")).alias("scores"))
+        "id", "grams", "other", _fused(F.col("scores"), F.col("prior")).alias("scores"))
     best = F.array_max("scores")
-    mass = F.aggregate("scores", F.lit(0.0), lambda total, x: total + F.exp(x - best))
+    mass = F.when(F.col("other").isNull(), 0.0).otherwise(F.exp(F.least(F.col("other") - best, F.lit(700.0)))) + F.aggregate("scores", F.lit(0.0), lambda total, x: total + F.exp(x - best))
     some = F.col("grams") > 0
     name = F.element_at(F.array(*map(F.lit, languages)), (_place_of_best(F.col("scores")) + 1).cast("int"))
     confidence = F.when(some, 1 / mass)
