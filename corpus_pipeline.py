@@ -14,7 +14,7 @@ from newswake.llm.contamination import decontaminated
 from newswake.llm.language import identified
 from newswake.llm.mixing import mixed
 from newswake.llm.sharding import interleave
-from newswake.llm.similar import first_of_similar
+from newswake.llm.simhash import first_of_group
 from newswake.session import written
 
 SHARDS = 40
@@ -26,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: Jaccard similarity of five-word shingles of 0.8 or more."""
-    return first_of_similar(docs)
+    """One document of each group of near-duplicates: fingerprints of three-word shingles that differ in at most 3 bits."""
+    return first_of_group(docs, radius=3, shingle=3)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
