@@ -30,9 +30,14 @@ def whole_div(a, b) -> Column:
     return F.call_function("div", F.lit(a) if isinstance(a, int) else a, F.lit(b) if isinstance(b, int) else b)
 
 
+def columns_of(df: DataFrame, but: tuple[str, ...] = ()) -> list[Column]:
+    """All columns (but the named ones) by their whole names, also where a name holds a dot or a backtick."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in but]
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of all columns of a row, for a total order: rows that tie on it and the ids are interchangeable."""
-    return F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+    return F.xxhash64(*[c.cast("string") for c in columns_of(df)])
 
 
 def free_name(df: DataFrame, name: str) -> str:

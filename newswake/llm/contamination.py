@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newswake.llm.common import filled, table
+from newswake.llm.common import columns_of, filled, table
 from newswake.session import written
 
 #: Fixed masks: a 1 is a token that must agree, a 0 one that is ignored (parameters).
@@ -53,8 +53,8 @@ def overlaps(
     such stretch has a seed at the default limits, so none is missed.
 
     Items with fewer tokens than the long masks are sought with the short
-    ones, if there are any; items shorter than those say nothing and match
-    nothing. The seeds of the items are broadcast up to ``max_broadcast``;
+    ones, if there are any; items shorter than those are compared whole: all
+    their tokens must stand in the text, one behind the other. The seeds of the items are broadcast up to ``max_broadcast``;
     beyond, both sides are shuffled by seed.
 
     Null texts have no tokens. Rows without an id match nothing. Rows that repeat an id are
@@ -69,6 +69,8 @@ def overlaps(
     parts = [((*masks, *covering), tests.filter(n >= span))]
     if not tests.filter((n < span) & (n >= short)).isEmpty():
         parts.append(((*short_masks, *short_covering), tests.filter((n < span) & (n >= short))))
+    for size in sorted(r.n for r in tests.select(n.alias("n")).filter((n > 0) & (n < short)).distinct().collect()):  # below the mask: few
+        parts.append((("1" * size,), tests.filter(n == size)))
 
     texts = split(docs, "doc_id")
     found = None
@@ -129,9 +131,13 @@ def _best_stretch(equal: Column, min_share: float) -> Column:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that overlap with no test item. Rows without an id stay."""
-    gone = written(overlaps(docs, items).select("doc_id").distinct(), "leaks")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that overlap with no test item.
+
+    The verdict goes by id and text, so of rows that share an id only those whose own text overlaps go. Rows without an id stay.
+    """
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    gone = written(overlaps(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("key")).distinct(), "leaks")
+    return docs.join(gone, key == gone["key"], "left_anti").select(*columns_of(docs))
 
 
 def op8_spaced_seeds(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newswake.llm.common import table
+from newswake.llm.common import columns_of, table
 from newswake.operators.joins import top_n_per_group
 from newswake.session import written
 
@@ -208,7 +208,7 @@ def identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is certain enough. An id goes if all its rows are rejected; rows without an id stay."""
     verdict = identify(of_documents(docs)).groupBy("id").agg(F.bool_or("kept").alias("kept"))
     gone = written(verdict.filter("NOT kept AND id IS NOT NULL").select(F.col("id").alias("doc_id")), "rejected")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*columns_of(docs))
 
 
 def op10_fused_language(spark, sf_dir: str) -> DataFrame:

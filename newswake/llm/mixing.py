@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newswake.llm.common import filled, free_name, table, words
+from newswake.llm.common import columns_of, filled, free_name, table, words
 from newswake.session import written
 
 #: Target shares of the tokens by domain.
@@ -196,7 +196,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     name, w, p = (free_name(docs, x) for x in ("copy", "words", "posterior"))
     rows = with_posteriors(docs.withColumn(w, words(F.col("text"))), F.col(w), filled(F.col("text")), model, p)
     n = copies(rate(F.col(p), steps), F.col("doc_id"), seed)
-    return rows.withColumn(name, F.explode(F.array_repeat(F.lit(0), n))).select(*docs.columns)
+    return rows.withColumn(name, F.explode(F.array_repeat(F.lit(0), n))).select(*columns_of(docs))
 
 
 def op1_soft_mixture(spark, sf_dir: str) -> DataFrame:

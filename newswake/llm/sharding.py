@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newswake.llm.common import filled, row_hash, table, whole_div
+from newswake.llm.common import columns_of, filled, row_hash, table, whole_div
 
 SEED = "interleave-1"
 KEY_RANGE = 1 << 48  # of the shuffle key: 12 hex digits
@@ -34,11 +34,10 @@ def interleave(docs: DataFrame, shards: int, seed: str = SEED, id: str = "doc_id
     """
     total = docs.select(id).count()
     buckets = max(1, math.ceil(math.sqrt(total)))
-    mine = [c for c in docs.columns if c not in ("shard", "slot")]
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id).cast("string"), F.lit("null"))))
     number = F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in mine]).alias("row"), F.col(id).cast("string").alias("id"),
+        F.struct(*columns_of(docs, ("shard", "slot"))).alias("row"), F.col(id).cast("string").alias("id"),
         F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")).alias("stratum"),
         digest.alias("digest"), whole_div(number, -(-KEY_RANGE // buckets)).alias("bucket"), row_hash(docs).alias("tie"),
     )

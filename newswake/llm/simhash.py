@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from newswake.llm.common import free_name, table
+from newswake.llm.common import columns_of, free_name, row_hash, table
 from newswake.llm.components import connected_components
 from newswake.session import written
 
@@ -124,6 +124,19 @@ def print_links(prints: DataFrame, radius: int = 3, block: int = BLOCK) -> DataF
     return groups.mapInPandas(links, "a bigint, b bigint").distinct()
 
 
+def groups(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, grp, component) of every different ``fp`` of the prints (id, fp): its group, and the smallest id of the group.
+
+    The nodes of the search are fingerprints, so rows that share an id and not their text stay apart.
+    """
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
+    joined = connected_components(print_links(nodes.select("fp", F.col("fp").alias("id")), radius))
+    labelled = written(nodes.join(joined, nodes["fp"] == joined["node"], "left").select(
+        "fp", "id", F.coalesce("component", "fp").alias("grp")), "labels")
+    smallest = labelled.groupBy("grp").agg(F.min("id").alias("component"))
+    return labelled.join(smallest, "grp").select("fp", "grp", "component")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, component) of every row: documents whose fingerprints differ in at most ``radius`` bits are linked.
 
@@ -131,37 +144,42 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id: str
     Equal fingerprints are one node of the search, so copies are never paired.
     Null and empty texts have fingerprint 0 and are linked like others. Rows
     that repeat an id go by their own text. A null id has a fingerprint, but
-    stands for no component: it gets that of its fingerprint, or null.
+    stands for no component: it gets that of its group, or null.
     Repeated rows stay; other columns are not read.
     """
     marked = written(docs.select(F.col(id).cast("bigint").alias("id"), fingerprint(F.col(text), shingle).alias("fp")), "prints")
-    nodes = written(marked.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    components = connected_components(print_links(nodes.filter("id IS NOT NULL"), radius))
-    known = nodes.join(components, nodes["id"] == components["node"], "left").select(
-        "fp", F.coalesce("component", "id").alias("component"))
-    return marked.join(known, "fp").select("id", "fp", "component")
+    return marked.join(groups(marked, radius), "fp").select("id", "fp", "component")
 
 
 def first_of_group(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
-    """The documents, one of each group of near-duplicates: that with the smallest id.
+    """The documents, one of each group of near-duplicates: the row with the smallest id.
 
-    Repeated rows of one id leave the one with the smallest text. Rows without an id stay.
+    Rows go by their own text: of rows that share an id, only those in one
+    group stand for each other, and the one with the smallest text stays. Of
+    equal rows one stays. Rows without an id stay. The verdicts are made on
+    ids and hashes; the documents are only held against the rows that go.
     """
-    return firsts(docs, near_duplicates(docs, radius, shingle))
-
-
-def firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents without those whose component in ``found`` has a smaller id."""
-    gone = written(found.filter("id <> component").select(F.col("id").alias("doc_id")).distinct(), "copies")
-    rest = docs.join(gone, "doc_id", "left_anti")
-    alone = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    turn = F.row_number().over(Window.partitionBy("doc_id", alone).orderBy(F.col("text"), row_order(docs)))
-    name = free_name(docs, "turn")
-    return rest.withColumn(name, turn).filter((F.col(name) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
-
-
-def row_order(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")])
+    id = F.col("doc_id").cast("bigint").alias("id")
+    marked = written(docs.select(id, row_hash(docs).alias("tie"), fingerprint(F.col("text"), shingle).alias("fp")), "prints")
+    placed = marked.filter("id IS NOT NULL").join(groups(marked, radius), "fp")
+    own = written(placed.filter("id = component").groupBy("grp", "id", "tie").agg(F.count("*").alias("n")), "own")
+    behind = placed.filter("id <> component").select("id", "tie")
+    several = own.groupBy("grp", "id").agg(F.count("*").alias("rows")).filter("rows > 1").select("grp", "id")
+    if not several.isEmpty():  # rows that share an id and a group: their texts decide
+        alike = own.join(several, ["grp", "id"]).select("grp", "id", "tie")
+        texts = docs.select(id, row_hash(docs).alias("tie"), "text").join(alike, ["id", "tie"]).dropDuplicates(["grp", "id", "tie"])
+        turn = F.row_number().over(Window.partitionBy("grp", "id").orderBy("text", "tie"))
+        behind = behind.unionByName(texts.withColumn("turn", turn).filter("turn > 1").select("id", "tie"))
+    gone = written(behind.distinct(), "gone")
+    tie = free_name(docs, "tie")
+    rows = docs.withColumn(tie, row_hash(docs))
+    match = lambda listed: (rows["doc_id"].cast("bigint") == listed["id"]) & (rows[tie] == listed["tie"])
+    rest = rows.join(gone, match(gone), "left_anti")
+    twins = written(own.filter("n > 1").select("id", "tie").distinct(), "twins")
+    if not twins.isEmpty():  # equal rows
+        once = rest.join(twins, match(twins), "left_semi").dropDuplicates(["doc_id", tie])
+        rest = rest.join(twins, match(twins), "left_anti").unionByName(once)
+    return rest.select(*columns_of(docs))
 
 
 def op9_covering_simhash(spark, sf_dir: str) -> DataFrame:

@@ -54,8 +54,23 @@ def test_edges(spark, docs):
             (None, item), (6, "one two three")]
     tests = items(spark, (7, item), (7, item), (8, None), (9, ""), (10, "one two three"), (None, item))
     got = sorted((r.doc_id, r.item_id, r.n_matched, r.start) for r in overlaps(docs(*rows), tests).collect())
-    assert got == [(3, 7, 13, 1), (4, 7, 13, 80_000)]
+    # The item of three words is short: wherever it stands whole it is found.
+    assert got == [(3, 7, 13, 1), (3, 10, 3, 1), (4, 7, 13, 80_000), (4, 10, 3, 80_000), (5, 10, 3, 0), (6, 10, 3, 0)]
     kept = decontaminated(docs(*rows), tests)
     assert kept.columns == docs().columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "5", "6", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
     assert overlaps(docs(), tests).count() == overlaps(docs(*rows), items(spark)).count() == 0
+
+
+def test_short_items_whole(spark, docs):
+    tests = items(spark, (1, "one two three four five"), (2, "Alpha, beta!"), (3, "lonely"))
+    rows = [(1, "x one two three four five y"), (2, "one two three four six five"), (3, "alpha gamma beta"), (4, "say: alpha - beta."), (5, "a LONELY word"), (6, "lonelyword")]
+    assert sorted((r.doc_id, r.item_id) for r in overlaps(docs(*rows), tests).collect()) == [(1, 1), (4, 2), (5, 3)]
+    assert sorted(r.doc_id for r in decontaminated(docs(*rows), tests).collect()) == [2, 3, 6]
+
+
+def test_verdict_by_text(spark, docs):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, "a " + item), (1, "clean words only"), (1, "a " + item), (2, "other words"), (2, None)]
+    kept = decontaminated(docs(*rows), items(spark, (7, item)))
+    assert sorted((r.doc_id, str(r.text)) for r in kept.collect()) == [(1, "clean words only"), (2, "None"), (2, "other words")]

@@ -56,3 +56,14 @@ def test_empty_table(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         got = stage(spark, empty, SF_DIR)
         assert got.count() == 0 and got.columns[:5] == empty.columns
+
+
+def test_odd_column_names(spark, docs):
+    """Names with dots and backticks, and names that stages use themselves."""
+    odd = ["b.c", "a`b", "tie", "fp", "id", "key", "copy", "posterior", "turn", "words"]
+    rows = docs(*[(i, f"The words of document number {i} stand here for the stages and they are not many.") for i in range(8)]).drop("shard")
+    rows = rows.select("*", *[rows["doc_id"].alias(c) for c in odd])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, rows, SF_DIR)
+        assert got.columns[:len(rows.columns)] == rows.columns
+        assert len(got.collect()) == got.count(), name

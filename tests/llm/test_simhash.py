@@ -99,3 +99,20 @@ def test_edges(spark, docs):
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted(
         [("4", ""), ("7", "one  two"), ("3", long), ("None", "one two"), ("None", "other")])
     assert near_duplicates(docs()).count() == first_of_group(docs()).count() == 0
+
+
+def test_verdict_by_text(spark, docs):
+    """Rows that share an id and not their text: only near copies go."""
+    line = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, line("a", 80)), (1, line("b", 80)), (2, line("c", 60)), (2, line("a", 80) + " x"), (2, line("c", 60)), (3, line("c", 60))]
+    got = {(r.id, r.fp): r.component for r in near_duplicates(docs(*rows)).collect()}
+    assert {got[i, signed(fingerprint(t))] for i, t in rows[:2]} == {1} and {got[i, signed(fingerprint(t))] for i, t in rows[2:] if t[0] == "c"} == {2}
+    near = (fingerprint(rows[0][1]) ^ fingerprint(rows[3][1])).bit_count() <= 3
+    kept = sorted((r.doc_id, r.text[:2]) for r in first_of_group(docs(*rows)).collect())
+    assert kept == [(1, "a0"), (1, "b0")] + ([] if near else [(2, "a0")]) + [(2, "c0")]
+    assert near
+
+
+def test_equal_rows_and_ties(spark, docs):
+    rows = [(4, "same text here")] * 3 + [(4, "Same text here")] * 2 + [(5, "same text here"), (6, None), (6, None)]
+    assert sorted((r.doc_id, str(r.text)) for r in first_of_group(docs(*rows)).collect()) == [(4, "Same text here"), (6, "None")]
