@@ -67,3 +67,8 @@ def epoch_seconds(time: Column) -> Column:
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     micros = F.timestamp_diff("MICROSECOND", epoch, time)
     return F.bround(micros.cast("decimal(20,0)") / F.lit(1000000).cast("decimal(20,0)"), 0).cast("bigint")
+
+
+def epoch_millis(time: Column) -> Column:
+    """Milliseconds since 1970."""
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), time)

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from newswake.functions.posts import has_event, ordered_union
 
 
-def reduce_captures(rows: DataFrame, key: str, order: str, arrays: list[str]) -> DataFrame:
-    """One row per key: the scalar fields of its first capture and the ordered union of its arrays.
-
-    A key may be captured any number of times. The arrays are taken apart and
-    each distinct element keeps the place of its first appearance, with
-    partial aggregation; only then the distinct elements of a key meet.
-    Captures with equal ``order`` go by a hash of the row, so the result does
-    not depend on the order of the rows.
+def capture_parts(rows: DataFrame, key: str, order: str, arrays: list[str]) -> DataFrame:
+    """Captures taken apart: per key its scalar fields (kind 0) and each distinct element of an array (kinds 1, 2, ...).
+
+    Columns: the key, ``kind``, the element in the column of its array,
+    ``seen`` (the place of the first appearance) and ``scalars``. Parts of
+    different captures are merged by ``merge_parts`` in any order and any
+    number of times. Captures with equal ``order`` go by a hash of the row, so
+    the result does not depend on the order of the rows.
     """
     scalars = [c for c in rows.columns if c not in (key, order, *arrays)]
     element_types = {a: rows.schema[a].dataType.elementType.simpleString() for a in arrays}
@@ -40,21 +40,37 @@ def reduce_captures(rows: DataFrame, key: str, order: str, arrays: list[str]) ->
         F.when(F.col("part.kind") == 0, F.col("scalars")).alias("scalars"),
         "part.*",
     )
-    distinct = flat.groupBy(key, "kind", *arrays).agg(
-        F.min("seen").alias("seen"), F.min_by("scalars", "seen").alias("scalars")
-    )
+    return merge_parts(flat, key, arrays)
+
+
+def merge_parts(parts: DataFrame, key: str, arrays: list[str]) -> DataFrame:
+    """Each part once, with its first appearance: partial aggregation, in any order, repeats change nothing."""
+    return parts.groupBy(key, "kind", *arrays).agg(F.min("seen").alias("seen"), F.min_by("scalars", "seen").alias("scalars"))
+
 
+def posts_of_parts(parts: DataFrame, key: str, arrays: list[str]) -> DataFrame:
+    """One row per key from its merged parts: the scalar fields, and the arrays in order of first appearance."""
     def collected(kind: int, array: str) -> Column:
         found = F.collect_list(F.when(F.col("kind") == kind, F.struct("seen", F.col(array).alias("value"))))
         return F.transform(F.array_sort(found), lambda e: e["value"]).alias(array)
 
-    merged = distinct.groupBy(key).agg(
+    merged = parts.groupBy(key).agg(
         F.first("scalars", ignorenulls=True).alias("scalars"),
         *[collected(k, a) for k, a in enumerate(arrays, 1)],
     )
     return merged.select(key, "scalars.*", *arrays).drop("_stored")
 
 
+def reduce_captures(rows: DataFrame, key: str, order: str, arrays: list[str]) -> DataFrame:
+    """One row per key: the scalar fields of its first capture and the ordered union of its arrays.
+
+    A key may be captured any number of times. The arrays are taken apart and
+    each distinct element keeps the place of its first appearance, with
+    partial aggregation; only then the distinct elements of a key meet.
+    """
+    return posts_of_parts(capture_parts(rows, key, order, arrays), key, arrays)
+
+
 def upsert(
     base: DataFrame, captures: DataFrame, grow: list[str], key: str = "post_id", order: str = "seq", arrays=("tags", "events")
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,33 @@ from newswake.functions import posts as P
 from newswake.functions.timing import parse_created_at, parse_timestamp_ms
 from newswake.schema import EVENT, RAW_POST
 
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # how Spark names a folder of nulls
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """One row per line, with the file it stands in."""
     return spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
 
 
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """One row per line, with its file and ``seq``, its place among all lines: by arrival of the file, file and line."""
+    return with_seq(place_columns(spark.read.text(path)))
+
+
+def place_columns(lines: DataFrame) -> DataFrame:
+    """Line, file, arrival of the file, and where in the file the part begins that a task reads (also of a stream)."""
+    return lines.select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").alias("arrived_at"), F.col("_metadata.file_block_start").alias("block"),
+        *[c for c in lines.columns if c != "value"])
+
+
+def with_seq(lines: DataFrame) -> DataFrame:
+    """Adds ``seq``. Lines of one part of a file are numbered as they are read, so ``seq`` orders them as they stand in the file."""
+    place = F.struct("arrived_at", "file", "block", F.monotonically_increasing_id().alias("row"))
+    return lines.withColumn("seq", place).drop("block")
+
+
 def read_glued(spark: SparkSession, path: str) -> DataFrame:
     """One row per array where arrays span several lines.
 
@@ -70,8 +93,8 @@ def split_bad(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def normalize(parsed: DataFrame, tags: Column | None = None, events: Column | None = None) -> DataFrame:
-    """Captured post objects as stored posts. Messages without id are dropped."""
+def normalize(parsed: DataFrame, tags: Column | None = None, events: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Captured post objects as stored posts, with the columns of the lines that are to be kept. Messages without id are dropped."""
     post = F.col("post")
     none_yet = F.array()
     rows = parsed.filter((F.col("kind") == "post") & F.col("post_id").isNotNull())
@@ -95,6 +118,7 @@ def normalize(parsed: DataFrame, tags: Column | None = None, events: Column | No
         P.root_author(post).alias("author_retweeted"),
         (none_yet if tags is None else tags).cast("array<string>").alias("tags"),
         (none_yet if events is None else events).cast(f"array<{EVENT}>").alias("events"),
+        *keep,
     )
 
 
@@ -102,16 +126,22 @@ def path_metadata(file: Column) -> dict[str, Column]:
     """Event, tag and film named by ``<folder>/<tag>_<count>_<time>.json``.
 
     A folder is the event id and the title words, in either order, joined by
-    ``_``; a film folder is the film's name.
+    ``_``; a film folder is the film's name. ``write_captures`` names the two
+    levels itself, ``folder=<folder>/tag=<tag>/``, and files are named by the writer.
     """
-    path = F.coalesce(F.try_url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), file)
-    folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
-    name = F.regexp_extract(path, r"([^/]+)$", 1)
+    def plain(x: Column) -> Column:
+        return F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+
+    path = plain(file)
+    own = r"/folder=([^/]*)/tag=([^/]*)/[^/]+$"  # values are escaped once by the writer and once in the address
+    named = F.rlike(path, F.lit(own))
+    folder = F.when(named, plain(F.regexp_extract(path, own, 1))).otherwise(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
+    name = F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"_\d+_\d{4}-\d\d-\d\dT\d\d_\d\d_\d\d\.json$|\.json$", "")
     id = F.regexp_extract(folder, EVENT_ID, 0)
     title = F.regexp_replace(F.regexp_replace(folder, EVENT_ID, ""), r"^_+|_+$", "")
     return {
         "event": P.event_struct(id, P.event_date(id), title),
-        "tag": F.regexp_replace(name, r"_\d+_\d{4}-\d\d-\d\dT\d\d_\d\d_\d\d\.json$|\.json$", ""),
+        "tag": F.when(named, F.nullif(plain(F.regexp_extract(path, own, 2)), F.lit(NO_VALUE))).otherwise(name),
         "film": folder,
     }
 
@@ -123,6 +153,20 @@ def read_event_folders(spark: SparkSession, path: str) -> DataFrame:
     return normalize(parsed, tags=F.array(meta["tag"]), events=F.array(meta["event"]))
 
 
+def event_captures(lines: DataFrame) -> DataFrame:
+    """Captures of lines with ``seq`` from a tree of event folders: posts with tag, event and ``seq``, ready to be merged."""
+    meta = path_metadata(F.col("file"))
+    events = F.when(meta["event"]["id"] != "", F.array(meta["event"])).otherwise(F.array().cast(f"array<{EVENT}>"))
+    return normalize(parse_lines(lines), tags=F.array_compact(F.array(meta["tag"])), events=events, keep=["seq"])
+
+
+def film_captures(lines: DataFrame) -> DataFrame:
+    """Captures of lines with ``seq`` from a tree of film folders, with the film from the path."""
+    film = path_metadata(F.col("file"))["film"]
+    rows = parse_lines(lines.filter(~F.col("file").contains("trackfile")))
+    return normalize(rows, tags=F.array(film), keep=["seq"]).withColumnRenamed("tags", "films").drop("events")
+
+
 def read_film_folders(spark: SparkSession, path: str) -> DataFrame:
     """Stored posts of a tree of film folders, with the film from the path."""
     lines = read_lines(spark, path).filter(~F.col("file").contains("trackfile"))

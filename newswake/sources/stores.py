@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newswake.constants import LINES_PER_FILE
 from newswake.functions.text import safe_tag, words
+from newswake.functions.timing import epoch_millis
 from newswake.operators.joins import one_per_element
 
 
@@ -30,6 +32,44 @@ def write_posts(posts: DataFrame, path: str, lines_per_file: int = 0) -> None:
     writer.json(path)
 
 
+def capture_line(posts: DataFrame) -> Column:
+    """A stored post as a capture line ``[collected_at, id, post]``: reading it gives the same stored post."""
+    def some(test: Column, value: Column) -> Column:
+        return F.when(test, value)
+
+    def names(value: Column) -> Column:
+        return F.struct(value.alias("screen_name"))
+
+    id = F.col("post_id").cast("string")
+    post = F.struct(
+        F.col("post_id").alias("id"), F.when(F.col("is_retweet"), id).otherwise(F.col("root_id")).alias("id_str"), "text", "lang",
+        F.date_format("created_at", "EEE MMM dd HH:mm:ss +0000 yyyy").alias("created_at"),
+        epoch_millis(F.col("timestamp_ms")).cast("string").alias("timestamp_ms"),
+        "favorite_count", "retweet_count", "in_reply_to_screen_name", names(F.col("user_screen_name")).alias("user"),
+        F.struct(
+            F.transform(F.split("hashtags", " "), lambda h: F.struct(h.alias("text"))).alias("hashtags"), F.col("urls"),
+            F.transform("user_mentions", names).alias("user_mentions")).alias("entities"),
+        some(F.col("author_quoted").isNotNull(), F.struct(names(F.col("author_quoted")).alias("user"))).alias("quoted_status"),
+        some(F.col("is_retweet"), F.struct(F.col("root_id").alias("id_str"), names(F.col("author_retweeted")).alias("user"))).alias("retweeted_status"),
+    )
+    collected = F.coalesce(F.col("collection_date").cast("string"), F.lit("null"))
+    return F.concat(F.lit("["), F.concat_ws(",", collected, id, F.to_json(post)), F.lit("]"))
+
+
+def write_captures(posts: DataFrame, path: str, lines_per_file: int = LINES_PER_FILE) -> None:
+    """Posts with ``event`` and ``tag`` as capture lines, in a folder per event and tag (``read_ordered`` reads them).
+
+    Rows are brought together by folder with a rebalance: Spark measures the
+    shuffle and gives a hot folder to several tasks and many small ones to
+    one. So a folder has about as many files as its lines need, and not one
+    per task of the input. Posts without an event go to the folder ``none``.
+    """
+    named = F.concat_ws("_", F.col("event.id"), F.replace(F.col("event.text"), F.lit("/"), F.lit("§")))
+    folder = F.when(F.col("event.id").isNull(), "none").otherwise(named)
+    rows = posts.select(capture_line(posts).alias("value"), folder.alias("folder"), safe_tag(F.col("tag")).alias("tag"))
+    rows.hint("rebalance", "folder", "tag").write.partitionBy("folder", "tag").option("maxRecordsPerFile", lines_per_file).text(path)
+
+
 def write_lines(rows: DataFrame, path: str, lines_per_file: int) -> None:
     """Text lines in files of at most ``lines_per_file`` lines."""
     rows.write.option("maxRecordsPerFile", lines_per_file).text(path)
