@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newswake import catalog
 from newswake.catalog import table
+from newswake.functions import posts as P
 from newswake.functions.posts import event_from_filename
 from newswake.functions.text import clean_title
 from newswake.functions.timing import parse_timestamp_ms
 from newswake.operators.filters import subject_exclusion
+from newswake.plans import reload as R
 from newswake.registry import base as B
 from newswake.registry.base import query
 from newswake.registry.scalars import CLEAN_TITLE
@@ -41,14 +43,19 @@ def capture_read(spark, sf):
     return C.parse_lines(C.read_lines(spark, folder)).select("kind", "post_id", "collection_date")
 
 
-@query("capture_repair", "SELECT doc_id AS post_id, md5(text) AS digest FROM documents")
+@query(
+    "capture_repair",
+    """SELECT 'post' AS kind, doc_id AS post_id, md5(text) AS digest FROM documents
+UNION ALL SELECT 'delete', doc_id, NULL FROM labels WHERE toxic = 1
+UNION ALL SELECT 'bad', NULL, NULL FROM benchmark UNION ALL SELECT 'bad', page_id, NULL FROM pages""",
+)
 def capture_repair(spark, sf):
-    """Files whose arrays are spread over two lines each."""
+    """Files whose arrays are spread over two lines each, with arrays cut short among them."""
     folder = new_folder(spark, "glued")
-    lines = catalog.capture_lines(spark, sf).filter(F.endswith("line", F.lit("]")))
+    lines = catalog.capture_lines(spark, sf)
     lines.select(F.replace("line", F.lit(',{"id"'), F.lit(',\n{"id"'))).write.text(folder)
-    rows = C.parse_lines(C.read_glued(spark, folder)).filter(F.col("kind") == "post")
-    return rows.select("post_id", F.md5("post.text").alias("digest"))
+    rows = C.parse_lines(C.read_glued(spark, folder))
+    return rows.select("kind", "post_id", F.md5("post.text").alias("digest"))
 
 
 @query(
@@ -167,16 +174,27 @@ def event_from_file(spark, sf):
     return rows.select(event_from_filename(F.col("file"), clean_title(F.col("headline"))).alias("e")).select("e.*")
 
 
-def dispatch_xml(spark, sf) -> DataFrame:
-    """``benchmark`` items as dispatches: headline, one or two subjects, the lines as paragraphs."""
-    text = F.col("text")
+HEADLINE = "trim(replace(substr(text, 1, 80), chr(10), ' '))"
+
+
+def headline_of(text: Column) -> Column:
+    return F.trim(F.replace(F.substring(text, 1, 80), F.lit("\n"), F.lit(" ")))
+
+
+def escaped(text: Column) -> Column:
     for sign, name in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")]:
         text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def dispatch_xml(spark, sf) -> DataFrame:
+    """``benchmark`` items as dispatches: headline, one or two subjects, the lines as paragraphs."""
+    text = escaped(F.col("text"))
     paragraphs = F.concat(F.lit("<p>"), F.replace(text, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
     other = F.when(F.col("item_id") % 3 == 0, F.lit("")).otherwise(F.lit('<Subject FormalName="04000000"/>'))
     xml = F.concat(
         F.lit('<NewsML><NewsItem><NewsComponent><DescriptiveMetadata><SubjectCode><Subject FormalName="15000000"/>'), other,
-        F.lit("</SubjectCode></DescriptiveMetadata><NewsLines><HeadLine>item "), "item_id",
+        F.lit("</SubjectCode></DescriptiveMetadata><NewsLines><HeadLine>"), escaped(headline_of(F.col("text"))),
         F.lit("</HeadLine></NewsLines><ContentItem><DataContent><nitf><body><body.content>"), paragraphs,
         F.lit("</body.content></body></nitf></DataContent></ContentItem></NewsComponent></NewsItem></NewsML>"),
     )
@@ -185,7 +203,7 @@ def dispatch_xml(spark, sf) -> DataFrame:
 
 @query(
     "dispatch_read_xml",
-    """SELECT 'item ' || item_id AS headline,
+    f"""SELECT {HEADLINE} AS headline,
        CASE WHEN item_id % 3 = 0 THEN '15000000' ELSE '15000000,04000000' END AS subjects FROM benchmark""",
 )
 def dispatch_read_xml(spark, sf):
@@ -202,9 +220,16 @@ def dispatch_body(spark, sf):
     return dispatch_xml(spark, sf).select("item_id", N.dispatch_body(F.col("xml")).alias("body"))
 
 
+@query("read_bodies", f"SELECT {B.plain("lower(replace(text, chr(10), ''))")} AS body FROM benchmark")
+def read_bodies(spark, sf):
+    folder = new_folder(spark, "bodies")
+    dispatch_xml(spark, sf).select("xml").write.option("maxRecordsPerFile", 1).text(folder)
+    return N.read_bodies(spark, folder).select("body")
+
+
 @query(
     "xml_get",
-    """SELECT item_id, 'item ' || item_id AS headline,
+    f"""SELECT item_id, {HEADLINE} AS headline,
        CASE WHEN item_id % 3 = 0 THEN 1 ELSE 2 END AS subjects, item_id % 3 <> 0 AS kept FROM benchmark""",
 )
 def xml_get(spark, sf):
@@ -243,23 +268,91 @@ def vocab_update(spark, sf):
     return S.vocab_update(vocab, N.parse_entities(catalog.dispatch_entity_rows(spark, sf)))
 
 
+STORED = """SELECT doc_id AS post_id, md5(text) AS digest, lang, source AS user_screen_name,
+       CASE WHEN lang <> 'es' THEN array_to_string(list_sort([source, lang, 'Zu', source]), ' ') END AS hashtags,
+       TIMESTAMP '2016-11-16 08:15:00' + to_seconds(doc_id) AS created_at,
+       CASE WHEN lang <> 'en' THEN make_timestamp((doc_id + 1479284100123) * 1000) END AS timestamp_ms,
+       1479284200 + doc_id AS collection_date, n_chars AS favorite_count, doc_id % 7 AS retweet_count,
+       lang || ',' || source AS mentions, CASE WHEN lang = 'de' THEN source END AS in_reply_to_screen_name,
+       CASE WHEN lang = 'fr' THEN 'by_' || source END AS author_quoted, n_chars % 2 = 1 AS is_retweet,
+       CAST(doc_id + n_chars % 2 AS VARCHAR) AS root_id, CASE WHEN n_chars % 2 = 1 THEN 'by_' || source END AS author_retweeted,
+       'http://example.org/' || source AS expanded_url"""
+
+EVENT_OF = "'afp.com-20161115T181832Z-TX-PAR-' || upper(source)"
+
+
+def with_event(posts: DataFrame) -> DataFrame:
+    """Posts with an event of their user and a tag of their language."""
+    id = F.concat(F.lit("afp.com-20161115T181832Z-TX-PAR-"), F.upper("user_screen_name"))
+    event = P.event_struct(id, P.event_date(id), F.concat(F.lit("Titre/de: "), "lang"))
+    return posts.select("*", event.alias("event"), F.concat("lang", F.lit("/x y")).alias("tag"))
+
+
+def written_captures(spark, sf) -> str:
+    folder = new_folder(spark, "posts")
+    S.write_captures(with_event(normalized(spark, sf)), folder)
+    return folder
+
+
+def all_fields(posts: DataFrame, *more) -> DataFrame:
+    plain = ["lang", "user_screen_name", "hashtags", "created_at", "timestamp_ms", "collection_date", "favorite_count", "retweet_count",
+             "in_reply_to_screen_name", "author_quoted", "is_retweet", "root_id", "author_retweeted"]
+    return posts.select(
+        "post_id", F.md5("text").alias("digest"), *plain, F.array_join("user_mentions", ",").alias("mentions"),
+        F.col("urls")[0]["expanded_url"].alias("expanded_url"), *more)
+
+
 @query(
     "post_write",
-    "SELECT source AS event_id, lang || '§x' AS tag, doc_id AS post_id, md5(text) AS digest FROM documents",
+    f"""{STORED}, lang || '§x y' AS tag, {EVENT_OF} AS event_id, TIMESTAMP '2016-11-15 18:18:32' AS event_date,
+       'Titre§de: ' || lang AS event_text, true AS placed FROM documents""",
 )
 def post_write(spark, sf):
-    folder = new_folder(spark, "posts")
-    rows = table(spark, sf, "documents").select(
-        F.col("source").alias("event_id"), F.concat("lang", F.lit("/x")).alias("tag"), F.col("doc_id").alias("post_id"), "text"
-    )
-    S.write_posts(rows, folder)
-    stored = spark.read.schema("post_id bigint, text string, event_id string, tag string").json(folder)
-    return stored.select("event_id", "tag", "post_id", F.md5("text").alias("digest"))
+    """Written in folders of event and tag, and read back: every field, the event and tag of the path, and a place of its own for every line."""
+    rows = C.event_captures(C.read_ordered(spark, written_captures(spark, sf)))
+    again = F.count("*").over(Window.partitionBy("seq")) == 1
+    event = F.col("events")[0]
+    return all_fields(
+        rows, F.col("tags")[0].alias("tag"), event["id"].alias("event_id"), event["date"].alias("event_date"), event["text"].alias("event_text"),
+        again.alias("placed"))
+
+
+def english(spark, sf) -> DataFrame:
+    """Stored posts: the English ones, with an old tag."""
+    return normalized(spark, sf).filter("lang = 'en'").withColumn("tags", F.array(F.lit("old")))
+
+
+@query(
+    "reload_events",
+    f"""{STORED}, CASE WHEN lang = 'en' THEN 'old' ELSE lang || '§x y' END AS tags, {EVENT_OF} AS events FROM documents""",
+)
+def reload_events(spark, sf):
+    merged = R.reload_events(english(spark, sf), written_captures(spark, sf))
+    return all_fields(merged, F.array_join("tags", ",").alias("tags"), F.array_join("events.id", ",").alias("events"))
+
+
+@query(
+    "reload_tag",
+    f"""{STORED}, CASE WHEN lang = 'en' THEN 'old,_filter' ELSE '_filter' END AS tags, '' AS events FROM documents""",
+)
+def reload_tag(spark, sf):
+    merged = R.reload_tag(english(spark, sf), written_captures(spark, sf), "_filter")
+    return all_fields(merged, F.array_join("tags", ",").alias("tags"), F.array_join("events.id", ",").alias("events"))
+
+
+@query("reload_films", f"{STORED}, CASE WHEN lang = 'en' THEN 'Old Film,' ELSE '' END || 'Film: ' || source AS films FROM documents")
+def reload_films(spark, sf):
+    """Folders named by a film, every post in its user's."""
+    folder = new_folder(spark, "films")
+    film = P.event_struct(F.concat(F.lit("Film: "), "user_screen_name"), F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("string"))
+    S.write_captures(normalized(spark, sf).select("*", film.alias("event"), F.lit("t").alias("tag")), folder)
+    stored = R.with_films(english(spark, sf)).withColumn("films", F.array(F.lit("Old Film")))
+    return all_fields(R.reload_films(stored, folder), F.array_join("films", ",").alias("films"))
 
 
-@query("copy_index", "SELECT doc_id, lang, source, n_chars FROM documents")
+@query("copy_index", "SELECT doc_id, lang, source, n_chars, md5(text) AS digest FROM documents")
 def copy_index(spark, sf):
     folder = new_folder(spark, "copy")
-    rows = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    rows = table(spark, sf, "documents")
     S.copy_index(rows, folder)
-    return S.copy_index(rows.filter("doc_id < 0"), folder)
+    return S.copy_index(rows.filter("doc_id < 0"), folder).select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("digest"))

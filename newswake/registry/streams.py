@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newswake import catalog
 from newswake.catalog import table
-from newswake.operators.merge import reduce_captures, upsert_live
 from newswake.registry import base as B
 from newswake.registry.base import query
 from newswake.registry.filters import TRACK
 from newswake.registry.merges import flat, reduced
 from newswake.session import new_folder
+from newswake.streaming import dedup as D
 from newswake.streaming import ingest as I
+from newswake.streaming import upserts as U
 
 
 def stream_of(spark, sf, name) -> DataFrame:
@@ -45,11 +48,21 @@ def stream_filter(spark, sf):
     return stored(spark, I.stream_filter(rows, TRACK, "de").select("doc_id"), "filter")
 
 
-@query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+@query("stream_dedup", "SELECT user_id, event_type, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type")
 def stream_dedup(spark, sf):
-    rows = stream_of(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    once = I.stream_dedup(rows, ["user_id", "event_type"], "ts", "40 days")
-    return stored(spark, once.select("user_id", "event_type"), "dedup")
+    """The files come in any order of time: what is late is stored aside and decided on at the end."""
+    rows = stream_of(spark, sf, "events").select("user_id", "event_type", "ts", "event_id")
+    keys = ["user_id", "event_type"]
+    return D.settled(stored(spark, D.first_captures(rows, keys, "ts", timedelta(hours=6)), "dedup"), keys, "ts")
+
+
+def ingested(spark, sf) -> str:
+    """A store of capture files in which every line stands twice, merged a few files at a time."""
+    folder, store = new_folder(spark, "arrived"), new_folder(spark, "store")
+    lines = catalog.capture_lines(spark, sf).select("line")
+    lines.union(lines).write.text(folder)
+    I.run_to_end(U.ingest_posts(spark, folder, store, new_folder(spark, "ingest-checkpoint"), files_per_batch=4))
+    return store
 
 
 @query(
@@ -60,23 +73,19 @@ UNION ALL SELECT 'bad', NULL, NULL FROM benchmark
 UNION ALL SELECT 'bad', page_id, NULL FROM pages""",
 )
 def stream_ingest(spark, sf):
-    """Capture files in which every line stands twice."""
-    folder = new_folder(spark, "arrived")
-    lines = catalog.capture_lines(spark, sf).select("line")
-    lines.union(lines).write.text(folder)
-    rows = I.ingest(spark, folder, new_folder(spark, "ingested"), new_folder(spark, "ingest-checkpoint"))
-    return rows.select("kind", "post_id", "post.favorite_count")
+    store = ingested(spark, sf)
+    posts = U.read_posts(spark, store, deleted=True).select(F.lit("post").alias("kind"), "post_id", "favorite_count")
+    none = F.lit(None).cast("bigint")
+    deletes = U.read_deletes(spark, store).select(F.lit("delete"), "post_id", none)
+    return posts.union(deletes).union(U.read_bad(spark, store).select(F.lit("bad"), "post_id", none))
 
 
 @query(
     "stream_deletes",
-    "SELECT doc_id AS post_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "SELECT doc_id AS post_id, md5(text) AS digest FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
 )
 def stream_deletes(spark, sf):
-    folder = new_folder(spark, "arrived")
-    catalog.capture_lines(spark, sf).select("line").write.text(folder)
-    rows = I.ingest(spark, folder, new_folder(spark, "ingested"), new_folder(spark, "ingest-checkpoint"))
-    return I.apply_deletes(rows.filter("kind = 'post'").select("post_id"), rows)
+    return U.read_posts(spark, ingested(spark, sf)).select("post_id", F.md5("text").alias("digest"))
 
 
 @query(
@@ -88,13 +97,14 @@ SELECT b.user_id AS post_id, b.text, b.retweet_count,
 FROM base b""",
 )
 def stream_upsert(spark, sf):
-    """Stored stream merged into stored posts: the same as one batch."""
-    kept = ["seq", "post_id", "ts", "retweet_count", "text", "tags", "events"]
-    rows = catalog.captures_of(stream_of(spark, sf, "events")).select(*kept)
-    arrived = stored(spark, rows, "captures").drop("ts")
-    first = catalog.captures(spark, sf).select(*kept).filter(F.col("ts") < F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")).drop("ts")
-    base = reduce_captures(first, "post_id", "seq", ["tags", "events"])
-    return flat(upsert_live(base.select("post_id", "text", "retweet_count", "tags", "events"), arrived))
+    """Captures that arrive in five batches, in no order, merged inside the stream: the same as one batch."""
+    folder, store = new_folder(spark, "arrived"), new_folder(spark, "store")
+    events = table(spark, sf, "events")
+    events.repartition(5, F.xxhash64("event_id")).write.parquet(folder)
+    arrived = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows = catalog.captures_of(arrived).select("seq", "post_id", "retweet_count", "text", "tags", "events")
+    I.run_to_end(U.upsert_stream(rows, store, new_folder(spark, "upsert-checkpoint")))
+    return flat(U.read_posts(spark, store))
 
 
 @query("stream_stop", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")

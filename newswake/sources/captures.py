@@ -42,15 +42,14 @@ def with_seq(lines: DataFrame) -> DataFrame:
 def read_glued(spark: SparkSession, path: str) -> DataFrame:
     """One row per array where arrays span several lines.
 
-    Arrays are cut where one ends and the next line begins another. That is
-    the reader's record separator, so files are still read in splits and
-    never as one value.
+    An array begins at the start of a line, and no other line begins with a
+    bracket: that is the reader's record separator, so files are still read in
+    splits and never as one value. An array that is cut short ends where the
+    next begins, and costs no other.
     """
-    records = spark.read.option("lineSep", "]\n[").text(path)
-    body = F.regexp_replace(F.col("value"), r"^\s*\[|\]\s*$", "")
-    return records.select(
-        F.concat(F.lit("["), body, F.lit("]")).alias("line"), F.col("_metadata.file_path").alias("file")
-    )
+    records = spark.read.option("lineSep", "\n[").text(path)
+    body = F.regexp_replace(F.col("value"), r"^\s*\[|\s+\z", "")
+    return records.select(F.concat(F.lit("["), body).alias("line"), F.col("_metadata.file_path").alias("file"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
