@@ -12,10 +12,11 @@ from newswake.operators.joins import one_per_element, salted_join
 
 
 def text_terms(groups: DataFrame, n_min: int = 2, n_max: int = 3, stop_words=STOP_WORDS) -> DataFrame:
-    """The terms of each representative text, each once: ``event_id, root_id, n, term``."""
+    """The terms of each representative text, each once: ``event_id, root_id, post_id, n, term``."""
     tokens = remove_stopwords(tokenize_terms(strip_urls_mentions(F.col("text"))), stop_words)
-    tokenized = groups.select("event_id", "root_id", "n", tokens.alias("tokens"))
-    return one_per_element(tokenized, ["event_id", "root_id", "n"], term_grams(F.col("tokens"), n_min, n_max), "term")
+    kept = ["event_id", "root_id", "post_id", "n"]
+    tokenized = groups.select(*kept, tokens.alias("tokens"))
+    return one_per_element(tokenized, kept, term_grams(F.col("tokens"), n_min, n_max), "term")
 
 
 def ngram_presence(groups: DataFrame, n_min: int = 2, n_max: int = 3, min_texts: int = MIN_TERM_TEXTS) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Word2VecModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from newswake import catalog
@@ -229,37 +228,84 @@ def phrases_save_load(spark, sf):
     return S.read_phrases(spark, folder).select("word_a", "word_b", F.round("score", 6).alias("score"))
 
 
+def topics_sql(cells: str, topics: str, rounds: int) -> str:
+    """CTEs that fit a model to ``cells`` (doc, term, n): the last are ``shares`` (doc, z, p) and ``weights`` (term, z, w)."""
+    parts = [
+        f"{cells}",
+        f"names AS (SELECT unnest(range({topics})) AS z)",
+        "sizes AS MATERIALIZED (SELECT doc, sum(n) AS size FROM cells GROUP BY doc)",
+        f"shares0 AS MATERIALIZED (SELECT doc, z, 1.0::DOUBLE / {topics} AS p FROM sizes, names)",
+        "weights0 AS MATERIALIZED (SELECT term, z, 1 + CAST('0x' || substr(md5('1:' || z || ':' || term), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS v "
+        "FROM (SELECT DISTINCT term FROM cells), names)",
+    ]
+    for i in range(rounds):
+        parts += [
+            f"totals{i} AS MATERIALIZED (SELECT z, sum(v) AS s FROM weights{i} GROUP BY z)",
+            f"met{i} AS MATERIALIZED (SELECT c.doc, c.term, c.n, w.z, s.p * (w.v / o.s) AS x FROM cells c JOIN weights{i} w ON w.term = c.term "
+            f"JOIN totals{i} o ON o.z = w.z JOIN shares{i} s ON s.doc = c.doc AND s.z = w.z)",
+            f"dealt{i} AS MATERIALIZED (SELECT m.doc, m.term, m.z, m.x * (m.n / t.s) AS v FROM met{i} m "
+            f"JOIN (SELECT doc, term, sum(x) AS s FROM met{i} GROUP BY doc, term) t ON t.doc = m.doc AND t.term = m.term)",
+            f"shares{i + 1} AS MATERIALIZED (SELECT d.doc, z, (sum(v) + 0.1) / (any_value(size) + {topics} * 0.1::DOUBLE) AS p "
+            f"FROM dealt{i} d JOIN sizes ON sizes.doc = d.doc GROUP BY d.doc, z)",
+            f"weights{i + 1} AS MATERIALIZED (SELECT term, z, sum(v) + 0.01 AS v FROM dealt{i} GROUP BY term, z)",
+        ]
+    parts += [f"shares AS (SELECT * FROM shares{rounds})",
+              f"weights AS (SELECT term, z, v / sum(v) OVER (PARTITION BY z) AS w FROM weights{rounds})"]
+    return ",\n".join(parts)
+
+
+TOP_WORDS = """top_words AS (
+  SELECT z, string_agg(term, ' ' ORDER BY round(w, 9) DESC, term) AS words
+  FROM (SELECT * FROM weights QUALIFY row_number() OVER (PARTITION BY z ORDER BY round(w, 9) DESC, term) <= 5) GROUP BY z)"""
+TOP_TOPIC = "top_topic AS (SELECT doc, z FROM shares QUALIFY row_number() OVER (PARTITION BY doc ORDER BY round(p, 9) DESC, z) = 1)"
+
+ROUNDS = 6  # of the registered models; a report runs 15
+EVENT_TOPICS = f"WITH {B.matrix(1, 1)},\n" + topics_sql(
+    "cells AS MATERIALIZED (SELECT event_id AS doc, term, value AS n FROM matrix)", "(SELECT count(DISTINCT event_id) FROM posts)", ROUNDS)
+POST_TOPICS = f"WITH {B.presence(1, 1)},\n" + topics_sql(
+    """cells AS MATERIALIZED (SELECT g.post_id AS doc, term, p.n FROM presence p JOIN groups g USING (event_id, root_id)
+  WHERE term IN (SELECT term FROM presence GROUP BY term HAVING count(*) >= 2))""", "20", ROUNDS)
+
+
 def event_topics(spark, sf):
+    """As many topics as events, over the words of the events."""
     posts = catalog.posts(spark, sf)
-    n_events = A.event_counts(posts, min_posts=1).count()
-    return posts, *T.topic_model(A.repost_groups(posts, limit=None), n_events)
+    matrix = X.event_text_matrix(groups(spark, sf), 1, 1)
+    return posts, T.topic_model(matrix, A.event_counts(posts, min_posts=1).count(), ROUNDS)
 
 
-@query("topic_model")
+@query("topic_model", f"{EVENT_TOPICS}\nSELECT doc AS event_id, CAST(z AS INTEGER) AS topic, round(p, 6) AS share FROM shares")
 def topic_model(spark, sf):
     """Share of every topic in every event."""
-    _, _, vectors, model = event_topics(spark, sf)
-    shares = model.transform(vectors).select("event_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "share"))
-    return shares.select("event_id", "topic", F.round("share", 3).alias("share"))
+    _, model = event_topics(spark, sf)
+    return T.topic_shares(model).select(F.col("doc").alias("event_id"), "topic", F.round("share", 6).alias("share"))
 
 
-@query("top_words_per_topic")
+@query("top_words_per_topic", f"{EVENT_TOPICS},\n{TOP_WORDS}\nSELECT CAST(z AS INTEGER) AS topic, words FROM top_words")
 def top_words_per_topic(spark, sf):
-    _, vocabulary, _, model = event_topics(spark, sf)
-    return T.top_words_per_topic(model, vocabulary)
+    _, model = event_topics(spark, sf)
+    return T.top_words_per_topic(model)
 
 
-@query("top_topic_per_doc")
+@query("top_topic_per_doc", f"{POST_TOPICS},\n{TOP_TOPIC}\nSELECT doc AS post_id, CAST(z AS INTEGER) AS topic FROM top_topic")
 def top_topic_per_doc(spark, sf):
     """Twenty topics over the single posts."""
-    tokens = T.text_tokens(groups(spark, sf).withColumn("event_id", F.col("post_id")))
-    vocabulary = T.fit_vocabulary(tokens)
-    vectors = vocabulary.transform(tokens)
-    return T.top_topic_per_doc(T.fit_topics(vectors, 20, 10), vectors, "event_id").withColumnRenamed("event_id", "post_id")
+    words = X.ngram_presence(groups(spark, sf), 1, 1).select(F.col("post_id").alias("doc"), "term", "n")
+    return T.top_topic_per_doc(T.fit_topics(words, 20, ROUNDS)).withColumnRenamed("doc", "post_id")
 
 
-@query("topic_report")
+@query(
+    "topic_report",
+    f"""{EVENT_TOPICS},
+{TOP_WORDS},
+{TOP_TOPIC},
+{B.TAGS.removeprefix(B.POSTS + ',')},
+tags AS (SELECT event_id, tag FROM post_tags GROUP BY event_id, tag HAVING count(*) >= 10),
+listed AS (SELECT event_id, string_agg(tag, ', ' ORDER BY tag) AS tags FROM tags GROUP BY event_id)
+SELECT t.doc AS event_id, 'event ' || t.doc AS event_text, CAST(t.z AS INTEGER) AS topic, words, l.tags
+FROM top_topic t JOIN top_words w USING (z) LEFT JOIN listed l ON l.event_id = t.doc""",
+)
 def topic_report(spark, sf):
-    posts, vocabulary, vectors, model = event_topics(spark, sf)
-    best = T.top_topic_per_doc(model, vectors, "event_id")
-    return T.topic_report(posts, A.field_counts(posts, "tags"), best, T.top_words_per_topic(model, vocabulary))
+    posts, model = event_topics(spark, sf)
+    best = T.top_topic_per_doc(model).withColumnRenamed("doc", "event_id")
+    return T.topic_report(posts, A.field_counts(posts, "tags"), best, T.top_words_per_topic(model))

@@ -308,14 +308,41 @@ def test_union_and_dedup(spark):
 
 
 def test_topics_and_report(spark):
+    from newswake.operators import features as X
     from newswake.operators import topics as T
 
     data = [(i, str(i), "election vote urne" if i % 2 else "pluie vent orage", ["ab"[i % 2]], ["t"], None) for i in range(20)]
     given = posts(spark, data)
-    vocabulary, vectors, model = T.topic_model(A.repost_groups(given, limit=None), 2, iterations=10)
-    best = T.top_topic_per_doc(model, vectors, "event_id")
-    words = T.top_words_per_topic(model, vocabulary, 3)
+    model = T.topic_model(X.event_text_matrix(A.repost_groups(given, limit=None), 1, 1), 2, rounds=10)
+    best = T.top_topic_per_doc(model).withColumnRenamed("doc", "event_id")
+    words = T.top_words_per_topic(model, 3)
     report = {r.event_id: r for r in T.topic_report(given, A.field_counts(given, "tags"), best, words).collect()}
     assert set(report["a"].words.split()) == {"pluie", "vent", "orage"} and report["b"].tags == "t"
-    with pytest.raises(ValueError):
-        T.fit_vocabulary(T.text_tokens(A.repost_groups(given)), max_terms=2)
+
+
+def test_planted_topics_are_found(spark):
+    """Documents of three subjects that share common words: each subject gets a topic of its own, with its words at the top."""
+    import random
+
+    from newswake.operators import topics as T
+
+    rng = random.Random(6)
+    subjects = [[f"{name}{k}" for k in range(30)] for name in ("sport", "meteo", "vote")]
+    counts = {}
+    for doc in range(90):
+        for _ in range(60):
+            term = rng.choice(subjects[doc % 3]) if rng.random() < 0.7 else f"commun{rng.randrange(30)}"
+            counts[doc, term] = counts.get((doc, term), 0) + 1
+    rows = spark.createDataFrame([(d, t, n) for (d, t), n in counts.items()], "doc bigint, term string, n bigint")
+    model = T.fit_topics(rows, 3, 40)
+    top = {r.doc: r.topic for r in T.top_topic_per_doc(model).collect()}
+    topics = [{top[d] for d in range(90) if d % 3 == k} for k in range(3)]
+    assert all(len(t) == 1 for t in topics) and len(set.union(*topics)) == 3
+    shares = {(r.doc, r.topic): r.share for r in T.topic_shares(model).collect()}
+    assert all(abs(sum(shares[d, z] for z in range(3)) - 1) < 1e-9 for d in range(90))
+    weights = [r.weights for r in model.weights.collect()]
+    assert all(abs(sum(w[z] for w in weights) - 1) < 1e-9 for z in range(3))
+    own = {w: k for k, ws in enumerate(subjects) for w in ws}
+    for r in T.top_words_per_topic(model, 10).collect():
+        found = [own[w] for w in r.words.split() if w in own]
+        assert len(found) >= 5 and {min(topics[k]) for k in found} == {r.topic}

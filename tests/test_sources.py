@@ -170,3 +170,48 @@ def test_bucketed_store_is_not_shuffled(spark):
     stored_side = plan[plan.index("FullOuter"):].split("Exchange")[0]
     assert "FileScan parquet spark_catalog.default.stored_posts" in stored_side
     assert {r.post_id: r.tags for r in merged.collect()}[1] == ["a", "b"]
+
+
+def test_captures_round_trip(spark):
+    """Every field comes back, and a folder has as many files as its lines need, not one per task."""
+    from newswake.functions import posts as P
+    from newswake.session import new_folder
+
+    event = P.event_struct(F.concat(F.lit("afp.com-2016111"), F.col("id") % 3, F.lit("T181832Z-TX-PAR-X")), F.lit(None).cast("timestamp_ntz"),
+                           F.lit("Titre: 50% d'été / fin"))
+    hot = F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 3)
+    rows = spark.range(4000).repartition(40).select(
+        F.col("id").alias("post_id"), F.concat(F.lit('a "b"\n\\ ü '), "id").alias("text"), F.when(F.col("id") % 2 == 0, "fr").alias("lang"),
+        F.lit("me").alias("user_screen_name"), F.when(F.col("id") % 4 > 0, "a b b").alias("hashtags"),
+        F.array(F.struct(F.lit("u").alias("url"), F.lit("x").alias("expanded_url"))).alias("urls"),
+        F.lit("2016-11-16 08:15:00").cast("timestamp_ntz").alias("created_at"),
+        F.when(F.col("id") % 5 > 0, F.lit("2016-11-16 08:15:00.123").cast("timestamp_ntz")).alias("timestamp_ms"), F.col("id").alias("collection_date"),
+        F.lit(3).cast("bigint").alias("favorite_count"), F.lit(None).cast("bigint").alias("retweet_count"), F.array(F.lit("m")).alias("user_mentions"),
+        F.lit(None).cast("string").alias("in_reply_to_screen_name"), F.when(F.col("id") % 3 == 0, "q").alias("author_quoted"),
+        (F.col("id") % 2 == 0).alias("is_retweet"), F.when(F.col("id") % 2 == 0, "77").otherwise(F.col("id").cast("string")).alias("root_id"),
+        F.when(F.col("id") % 2 == 0, "r").alias("author_retweeted"), event.withField("id", F.concat(F.lit("afp.com-2016111"), hot, F.lit("T181832Z-TX-PAR-X"))).alias("event"),
+        F.concat(F.lit("tag/"), F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 2).cast("string")).alias("tag"))
+    folder = new_folder(spark, "captures")
+    S.write_captures(rows, folder, lines_per_file=500)
+    files = [os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.endswith(".txt")]
+    groups = rows.select("event.id", "tag").distinct().count()
+    assert max(len(open(f, encoding="utf-8").readlines()) for f in files) <= 500
+    assert len(files) <= 2 * groups + 4000 // 500  # 40 tasks would have written up to 40 files per folder
+
+    back = C.event_captures(C.read_ordered(spark, folder))
+    plain = [c for c in rows.columns if c not in ("event", "tag")]
+    assert back.select(plain).exceptAll(rows.select(plain)).count() == rows.select(plain).exceptAll(back.select(plain)).count() == 0
+    paths = back.select("post_id", F.col("tags")[0].alias("tag"), F.col("events")[0]["id"].alias("id"), F.col("events")[0]["text"].alias("title"))
+    want = rows.select("post_id", F.replace("tag", F.lit("/"), F.lit("§")).alias("tag"), "event.id", F.lit("Titre: 50% d'été § fin"))
+    assert paths.exceptAll(want).count() == 0
+    # ``seq`` orders lines as they stand in their file, here compared with the file itself.
+    one = max(files, key=os.path.getsize)
+    in_file = [int(line.split(",")[1]) for line in open(one, encoding="utf-8")]
+    lines = C.read_ordered(spark, one).orderBy("seq").collect()
+    assert [int(r.line.split(",")[1]) for r in lines] == in_file and back.select("seq").distinct().count() == 4000
+
+
+def test_cut_array_costs_no_other(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[1,\n2,\n{"id": 2, "text": "t"}]\n[3,4,{"text":"cut\n[5,6,\n{"id": 6, "text": "u"}]\n', encoding="utf-8")
+    rows = C.parse_lines(C.read_glued(spark, str(tmp_path))).collect()
+    assert sorted((r.kind, r.post_id or 0) for r in rows) == [("bad", 0), ("post", 2), ("post", 6)]
