@@ -334,7 +334,7 @@ def test_planted_topics_are_found(spark):
             term = rng.choice(subjects[doc % 3]) if rng.random() < 0.7 else f"commun{rng.randrange(30)}"
             counts[doc, term] = counts.get((doc, term), 0) + 1
     rows = spark.createDataFrame([(d, t, n) for (d, t), n in counts.items()], "doc bigint, term string, n bigint")
-    model = T.fit_topics(rows, 3, 40)
+    model = T.fit_topics(rows, 3, 25)
     top = {r.doc: r.topic for r in T.top_topic_per_doc(model).collect()}
     topics = [{top[d] for d in range(90) if d % 3 == k} for k in range(3)]
     assert all(len(t) == 1 for t in topics) and len(set.union(*topics)) == 3
