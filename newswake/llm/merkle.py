@@ -124,9 +124,10 @@ def manifest(rows: DataFrame, order: list[str], fanout: int = FANOUT) -> DataFra
     them (the last run may have fewer) become their digest. The tops of the
     groups, by ``grp`` bytewise, are the leaves of one more tree, whose top is
     the root. ``way`` is an array of the left and right siblings of each level.
-    An empty table gives no rows.
+    An empty table gives no rows. The leaves are written first: ranges are cut
+    from a sample, which would hash every row once more.
     """
-    placed = written(numbered(rows, [*order, "leaf"]), "leaves")
+    placed = written(numbered(written(rows, "digests"), [*order, "leaf"]), "leaves")
     grown = trees(placed.select("grp", "idx", F.col("leaf").alias("hash"), "n"), fanout)
     subroots = written(grown.tops, "tops")
     ranked = written(numbered(subroots.select(F.lit("").alias("grp"), F.col("grp").alias("of"), "level", "hash"), ["of"]), "subroots")
