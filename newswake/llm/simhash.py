@@ -15,6 +15,7 @@ from newswake.session import written
 
 BITS = 64
 SEED = 42
+MAX_BROADCAST = 1_000_000  # rows that go, two numbers each: 16 MB
 BLOCK = 2048  # fingerprints of a bucket that are compared in one task; a larger bucket is split into pairs of blocks
 
 
@@ -151,13 +152,15 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id: str
     return marked.join(groups(marked, radius), "fp").select("id", "fp", "component")
 
 
-def first_of_group(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
+def first_of_group(docs: DataFrame, radius: int = 3, shingle: int = 3, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """The documents, one of each group of near-duplicates: the row with the smallest id.
 
     Rows go by their own text: of rows that share an id, only those in one
     group stand for each other, and the one with the smallest text stays. Of
     equal rows one stays. Rows without an id stay. The verdicts are made on
-    ids and hashes; the documents are only held against the rows that go.
+    ids and hashes; the documents are only held against the rows that go,
+    which are counted: up to ``max_broadcast`` they are sent to the documents,
+    beyond both sides are shuffled.
     """
     id = F.col("doc_id").cast("bigint").alias("id")
     marked = written(docs.select(id, row_hash(docs).alias("tie"), fingerprint(F.col("text"), shingle).alias("fp")), "prints")
@@ -171,6 +174,8 @@ def first_of_group(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFr
         turn = F.row_number().over(Window.partitionBy("grp", "id").orderBy("text", "tie"))
         behind = behind.unionByName(texts.withColumn("turn", turn).filter("turn > 1").select("id", "tie"))
     gone = written(behind.distinct(), "gone")
+    if gone.count() <= max_broadcast:
+        gone = F.broadcast(gone)
     tie = free_name(docs, "tie")
     rows = docs.withColumn(tie, row_hash(docs))
     match = lambda listed: (rows["doc_id"].cast("bigint") == listed["id"]) & (rows[tie] == listed["tie"])

@@ -115,4 +115,6 @@ def test_verdict_by_text(spark, docs):
 
 def test_equal_rows_and_ties(spark, docs):
     rows = [(4, "same text here")] * 3 + [(4, "Same text here")] * 2 + [(5, "same text here"), (6, None), (6, None)]
-    assert sorted((r.doc_id, str(r.text)) for r in first_of_group(docs(*rows)).collect()) == [(4, "Same text here"), (6, "None")]
+    for most in (0, 1000):
+        kept = first_of_group(docs(*rows), max_broadcast=most).collect()
+        assert sorted((r.doc_id, str(r.text)) for r in kept) == [(4, "Same text here"), (6, "None")]
