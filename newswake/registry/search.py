@@ -149,11 +149,12 @@ def word_pairs(spark, sf):
 
 
 CANDIDATES = f"""WITH {B.matrix(1, 3)}{B.TFIDF},
-candidates AS (SELECT event_id, term FROM tfidf WHERE value > 0.1)"""
+candidates AS (SELECT event_id, term FROM tfidf WHERE value > 0.03)"""
 
 
 def candidates(spark, sf):
-    return Q.candidate_terms(weigh_terms(catalog.posts(spark, sf), n_min=1, n_max=3), 0.1)
+    """Light enough terms that there are events with one, two and three words as their longest."""
+    return Q.candidate_terms(weigh_terms(catalog.posts(spark, sf), n_min=1, n_max=3), 0.03)
 
 
 def bodies(spark, sf):
@@ -162,19 +163,61 @@ def bodies(spark, sf):
     return rows.groupBy("event_id").agg(F.min_by("text", "post_id").alias("text")).select("event_id", fold(F.col("text")).alias("body"))
 
 
+VOCABULARY = rf"""
+vocab AS (
+  SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part
+  UNION SELECT unnest({B.search_words('text')}) FROM benchmark)"""
+
+SEGMENTED = """
+spans AS (
+  SELECT word, s, e, substr(word, s, e - s + 1) AS piece
+  FROM (SELECT word, s, unnest(range(s, length(word) + 1)) AS e
+        FROM (SELECT word, unnest(range(1, length(word) + 1)) AS s FROM words))),
+hits AS (SELECT word, s, e FROM spans WHERE piece IN (SELECT word FROM vocab)),
+far AS (SELECT word, s, max(e) AS e FROM hits GROUP BY word, s),
+near AS (SELECT word, e, min(s) AS s FROM hits GROUP BY word, e),
+fore(word, pos, parts) AS (
+  SELECT word, CAST(1 AS BIGINT), CAST([] AS VARCHAR[]) FROM words
+  UNION ALL SELECT f.word, x.e + 1, list_append(f.parts, substr(f.word, x.s, x.e - x.s + 1))
+  FROM fore f JOIN far x ON x.word = f.word AND x.s = f.pos),
+back(word, pos, parts) AS (
+  SELECT word, CAST(length(word) AS BIGINT), CAST([] AS VARCHAR[]) FROM words
+  UNION ALL SELECT f.word, x.s - 1, list_prepend(substr(f.word, x.s, x.e - x.s + 1), f.parts)
+  FROM back f JOIN near x ON x.word = f.word AND x.e = f.pos),
+walks AS (
+  SELECT word, f.parts AS fp, b.parts AS bp
+  FROM (SELECT word, arg_max(parts, pos) AS parts FROM fore GROUP BY word) f
+  JOIN (SELECT word, arg_min(parts, pos) AS parts FROM back GROUP BY word) b USING (word)),
+fewer AS (
+  SELECT word, fp, bp, array_to_string(CASE WHEN len(bp) < len(fp) THEN bp ELSE fp END, ' ') AS short FROM walks),
+segmented AS (
+  SELECT word, CASE WHEN fp = bp THEN array_to_string(fp, ' ')
+                    WHEN length(word) > length(short) THEN word ELSE short END AS segmented FROM fewer)"""
+
+
+def vocabulary(spark, sf):
+    """Words of part names and of dispatch titles."""
+    part, titles = (catalog.table(spark, sf, t) for t in ("part", "benchmark"))
+    return part.select(F.explode(F.split("p_name", " ")).alias("word")).union(titles.select(F.explode(search_tokens(F.col("text")))))
+
+
 @query(
     "terms_in_body",
-    f"""{CANDIDATES},
-bodies AS (SELECT event_id, {B.plain('lower(arg_min(text, post_id))')} AS body FROM posts GROUP BY event_id)
-SELECT c.event_id, c.term FROM candidates c JOIN bodies b USING (event_id)
-WHERE len(list_filter(string_split(c.term, ' '), lambda w: NOT contains(b.body, w))) = 0""",
+    f"""{CANDIDATES.replace('WITH ', 'WITH RECURSIVE ', 1)},
+bodies AS (SELECT event_id, {B.plain('lower(arg_min(text, post_id))')} AS body FROM posts GROUP BY event_id),
+{VOCABULARY},
+words AS (SELECT DISTINCT unnest(string_split(term, ' ')) AS word FROM candidates),
+{SEGMENTED},
+parts AS (SELECT event_id, term, unnest(string_split(term, ' ')) AS word FROM candidates),
+seen AS (
+  SELECT event_id, term, bool_and(contains(body, word)) AS whole, bool_and(contains(body, segmented)) AS split
+  FROM parts JOIN bodies USING (event_id) JOIN segmented USING (word) GROUP BY event_id, term)
+SELECT event_id, term FROM seen WHERE whole OR split""",
 )
 def terms_in_body(spark, sf):
-    """The words of the terms are the vocabulary here, so each word segments into itself."""
     terms = candidates(spark, sf)
     parts = terms.select(F.explode(words(F.col("term"))).alias("word"))
-    segments = H.segment_hashtags(parts, parts)
-    return Q.terms_in_body(terms, bodies(spark, sf), segments)
+    return Q.terms_in_body(terms, bodies(spark, sf), H.segment_hashtags(parts, vocabulary(spark, sf)))
 
 
 @query(
@@ -193,46 +236,16 @@ def select_query_length(spark, sf):
     return Q.select_query_length(candidates(spark, sf), no_tags)
 
 
-HASHTAG_WORDS = rf"""
-vocab AS (
-  SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part
-  UNION SELECT w FROM (SELECT unnest({B.search_words('text')}) AS w FROM benchmark) WHERE length(w) <= 4),
-words AS (
-  SELECT DISTINCT replace(p_name, ' ', '') AS word FROM part
-  UNION SELECT unnest({B.search_words('text')}) FROM conversations)"""
-
-
 @query(
     "segment_hashtags",
-    f"""WITH RECURSIVE {HASHTAG_WORDS},
-spans AS (
-  SELECT word, s, e, substr(word, s, e - s + 1) AS piece
-  FROM (SELECT word, s, unnest(range(s, length(word) + 1)) AS e
-        FROM (SELECT word, unnest(range(1, length(word) + 1)) AS s FROM words))),
-hits AS (SELECT word, s, e FROM spans WHERE piece IN (SELECT word FROM vocab)),
-far AS (SELECT word, s, max(e) AS e FROM hits GROUP BY word, s),
-near AS (SELECT word, e, min(s) AS s FROM hits GROUP BY word, e),
-fore(word, pos, parts) AS (
-  SELECT word, CAST(1 AS BIGINT), CAST([] AS VARCHAR[]) FROM words
-  UNION ALL SELECT f.word, x.e + 1, list_append(f.parts, substr(f.word, x.s, x.e - x.s + 1))
-  FROM fore f JOIN far x ON x.word = f.word AND x.s = f.pos),
-back(word, pos, parts) AS (
-  SELECT word, CAST(length(word) AS BIGINT), CAST([] AS VARCHAR[]) FROM words
-  UNION ALL SELECT f.word, x.s - 1, list_prepend(substr(f.word, x.s, x.e - x.s + 1), f.parts)
-  FROM back f JOIN near x ON x.word = f.word AND x.e = f.pos),
-walks AS (
-  SELECT word, f.parts AS fp, b.parts AS bp
-  FROM (SELECT word, arg_max(parts, pos) AS parts FROM fore GROUP BY word) f
-  JOIN (SELECT word, arg_min(parts, pos) AS parts FROM back GROUP BY word) b USING (word)),
-fewer AS (
-  SELECT word, fp, bp, array_to_string(CASE WHEN len(bp) < len(fp) THEN bp ELSE fp END, ' ') AS short FROM walks)
-SELECT word, CASE WHEN fp = bp THEN array_to_string(fp, ' ')
-                  WHEN length(word) > length(short) THEN word ELSE short END AS segmented FROM fewer""",
+    f"""WITH RECURSIVE {VOCABULARY},
+words AS (
+  SELECT DISTINCT replace(p_name, ' ', '') AS word FROM part
+  UNION SELECT unnest({B.search_words('text')}) FROM conversations),
+{SEGMENTED}
+SELECT word, segmented FROM segmented""",
 )
 def segment_hashtags(spark, sf):
-    part, conversations, titles = (catalog.table(spark, sf, t) for t in ("part", "conversations", "benchmark"))
-    known = part.select(F.explode(F.split("p_name", " ")).alias("word"))
-    short = titles.select(F.explode(search_tokens(F.col("text"))).alias("word")).filter(F.length("word") <= 4)
+    part, conversations = (catalog.table(spark, sf, t) for t in ("part", "conversations"))
     tags = part.select(F.replace("p_name", F.lit(" "), F.lit("")).alias("word"))
-    tags = tags.union(conversations.select(F.explode(search_tokens(F.col("text")))))
-    return H.segment_hashtags(tags, known.union(short))
+    return H.segment_hashtags(tags.union(conversations.select(F.explode(search_tokens(F.col("text"))))), vocabulary(spark, sf))
