@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newswake.operators.joins import top_n_per_group
+from newswake.operators.phrases import apply_phrases, learn_phrases
+
+PARTS = 8  # of a training, whatever the number of cores: their merged vectors then do not depend on it
+BLOCK = 4096  # vectors that are compared with each other in one task
+
 
 def train_word_vectors(
     sentences: DataFrame, size: int = 100, window: int = 5, min_count: int = 5, iterations: int = 5,
-    partitions: int = 1, seed: int = 1,
+    partitions: int = PARTS, seed: int = 1,
 ) -> Word2VecModel:
     """Word vectors of token arrays. More partitions train faster and need more iterations."""
     trainer = Word2Vec(
@@ -21,6 +30,12 @@ def train_word_vectors(
     return trainer.fit(sentences.select("tokens"))
 
 
+def train_phrase_vectors(sentences: DataFrame, key: str, min_count: int = 5, **training) -> Word2VecModel:
+    """Word vectors of sentences (key, tokens) after their frequent phrases were learnt and merged."""
+    merged = apply_phrases(sentences, learn_phrases(sentences), key)
+    return train_word_vectors(merged, min_count=min_count, **training)
+
+
 def _dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
@@ -41,3 +56,43 @@ def most_similar(
     others = unit.filter(~F.col(word).isin([*positive, *negative])).withColumn("mean", mean)
     cosine = _dot(F.col("vector"), F.col("mean")) / F.col("length") / F.sqrt(_dot(F.col("mean"), F.col("mean")))
     return others.select(word, cosine.alias("similarity")).orderBy(F.desc("similarity"), word).limit(topn)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, topn: int = 10, word: str = "word", block: int = BLOCK) -> DataFrame:
+    """(query, word, similarity, rank): for each of many query vectors the nearest words by cosine, without itself.
+
+    Vectors and queries are dealt out into blocks by hash, and every block of
+    queries meets every block of vectors in a task of its own: one matrix
+    product, of which each query keeps its ``topn`` best. Only those are
+    shuffled, so there is no list of pairs, and a task holds two blocks.
+    Equal similarities (to nine digits) go by word. Vectors of length 0 are near to none.
+    """
+    def unit(rows: DataFrame, name: str) -> DataFrame:
+        length = F.sqrt(_dot(F.col("vector"), F.col("vector")))
+        return rows.select(F.col(word).alias(name), F.transform("vector", lambda x: x.cast("double")).alias("vector"), length.alias("length")).filter(
+            "length > 0").select(name, F.transform("vector", lambda x: x / F.col("length")).alias("vector"))
+
+    n_vectors, n_queries = (max(1, math.ceil(df.count() / block)) for df in (vectors, queries))
+
+    def dealt(rows: DataFrame, name: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        all_others = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        return rows.withColumn(own, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")).withColumn(other, all_others)
+
+    left = dealt(unit(queries, "query"), "query", "q", n_queries, "v", n_vectors)
+    right = dealt(unit(vectors, word), word, "v", n_vectors, "q", n_queries)
+    word_type = vectors.schema[word].dataType.simpleString()
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query": [], word: [], "similarity": []})
+        b = b.sort_values(word, kind="stable")
+        names, rounded = b[word].to_numpy(), np.round(np.stack(a["vector"]) @ np.stack(b["vector"]).T, 9)
+        parts = []
+        for query, row in zip(a["query"], rounded, strict=True):
+            order = np.argsort(-row, kind="stable")[:topn + 1]
+            order = order[names[order] != query][:topn]
+            parts.append(pd.DataFrame({"query": query, word: names[order], "similarity": row[order]}))
+        return pd.concat(parts)
+
+    found = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInPandas(best, f"query {word_type}, {word} {word_type}, similarity double")
+    return top_n_per_group(found, ["query"], [F.desc("similarity"), F.asc(word)], topn, [word], rank="rank")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Word2VecModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from newswake import catalog
@@ -117,10 +118,12 @@ def suggested(spark, sf):
     return best.select("event_id", "term", "query", F.round("value", 8).alias("value"))
 
 
-SENTENCES = rf"""
+def sentences_sql(source: str, key: str) -> str:
+    """CTEs of the tokens of a table and its phrases."""
+    return rf"""
 sentences AS (
-  SELECT doc_id, regexp_extract_all(lower({B.no_punct(B.strip('text'))}),
-         '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]+') AS t FROM documents),
+  SELECT {key} AS doc_id, regexp_extract_all(lower({B.no_punct(B.strip('text'))}),
+         '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]+') AS t FROM {source}),
 placed AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS a, unnest(t[2:]) AS b FROM sentences),
 ones AS (SELECT a AS w, count(*) AS n FROM placed GROUP BY a),
 twos AS (SELECT a, b, count(*) AS n FROM placed WHERE b IS NOT NULL GROUP BY a, b),
@@ -129,6 +132,19 @@ phrases AS (
   FROM twos JOIN ones x ON x.w = a JOIN ones y ON y.w = b WHERE twos.n > 5)"""
 
 
+SENTENCES = sentences_sql("documents", "doc_id")
+
+MERGED = """
+hits AS (SELECT doc_id, i FROM placed JOIN (SELECT a, b FROM phrases WHERE score > 10) USING (a, b)),
+runs AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits),
+taken AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS k FROM runs) WHERE k % 2 = 1),
+merged AS (
+  SELECT p.doc_id, p.i, CASE WHEN t.i IS NULL THEN p.a ELSE p.a || '_' || p.b END AS token
+  FROM placed p LEFT JOIN taken t ON t.doc_id = p.doc_id AND t.i = p.i
+  WHERE NOT EXISTS (SELECT 1 FROM taken x WHERE x.doc_id = p.doc_id AND x.i = p.i - 1))"""
+
+
 def sentences(spark, sf):
     return catalog.documents(spark, sf).select("doc_id", sentence_tokens(F.col("text")).alias("tokens"))
 
@@ -144,14 +160,7 @@ def learn_phrases(spark, sf):
 @query(
     "apply_phrases",
     f"""WITH {SENTENCES},
-hits AS (SELECT doc_id, i FROM placed JOIN (SELECT a, b FROM phrases WHERE score > 10) USING (a, b)),
-runs AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits),
-taken AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS k FROM runs) WHERE k % 2 = 1),
-merged AS (
-  SELECT p.doc_id, p.i, CASE WHEN t.i IS NULL THEN p.a ELSE p.a || '_' || p.b END AS token
-  FROM placed p LEFT JOIN taken t ON t.doc_id = p.doc_id AND t.i = p.i
-  WHERE NOT EXISTS (SELECT 1 FROM taken x WHERE x.doc_id = p.doc_id AND x.i = p.i - 1))
+{MERGED}
 SELECT s.doc_id, coalesce(m.tokens, '') AS tokens FROM sentences s
 LEFT JOIN (SELECT doc_id, string_agg(token, ' ' ORDER BY i) AS tokens FROM merged GROUP BY doc_id) m USING (doc_id)""",
 )
@@ -190,32 +199,46 @@ def topk_similar(spark, sf):
     return near.select("word", F.round("similarity", 6).alias("similarity"))
 
 
-def chat(spark, sf):
-    rows = spread(catalog.table(spark, sf, "conversations"), "conv_id")
-    return rows.select("conv_id", "turn", sentence_tokens(F.col("text")).alias("tokens"))
+@query(
+    "nearest_words",
+    """WITH unit AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+pairs AS (
+  SELECT a.vec_id AS query, b.vec_id AS word, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM unit a JOIN unit b ON a.vec_id <> b.vec_id)
+SELECT query, word, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, word) AS INTEGER) AS rank
+FROM pairs QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, word) <= 5""",
+)
+def nearest_words(spark, sf):
+    """The five nearest words of every word."""
+    vectors = catalog.word_vectors(spark, sf)
+    return V.nearest(vectors, vectors, 5).select("query", "word", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-def trained(spark, sf):
-    cores = spark.sparkContext.defaultParallelism
-    return V.train_word_vectors(chat(spark, sf), size=50, iterations=1, partitions=cores)
+def trained(spark, sf) -> Word2VecModel:
+    """Vectors over the phrase tokens of the conversations, one sentence per turn."""
+    rows = spread(catalog.table(spark, sf, "conversations"), "conv_id")
+    turns = rows.select(F.concat_ws("-", "conv_id", "turn").alias("key"), sentence_tokens(F.col("text")).alias("tokens"))
+    return V.train_phrase_vectors(turns, "key")
 
 
-CHAT_WORDS = rf"""SELECT word FROM (
-  SELECT unnest(regexp_extract_all(lower({B.no_punct(B.strip('text'))}), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]+')) AS word
-  FROM conversations) GROUP BY word HAVING count(*) >= 5"""
+CHAT_WORDS = f"""WITH {sentences_sql('conversations', "conv_id || '-' || turn")},
+{MERGED}
+SELECT token AS word, MORE FROM merged GROUP BY token HAVING count(*) >= 5"""
 
 
-# The vectors depend on the training; which words have one does not.
-@query("word_vectors", CHAT_WORDS)
+# The vectors depend on the training; which words and phrases have one does not.
+@query("word_vectors", CHAT_WORDS.replace("MORE", "100 AS size"))
 def word_vectors(spark, sf):
-    return trained(spark, sf).getVectors().select("word")
+    return trained(spark, sf).getVectors().select("word", F.size(vector_to_array("vector")).alias("size"))
 
 
-@query("model_save_load", CHAT_WORDS)
+@query("model_save_load", CHAT_WORDS.replace("MORE", "true AS same"))
 def model_save_load(spark, sf):
-    folder = new_folder(spark, "vectors")
-    trained(spark, sf).save(folder)
-    return Word2VecModel.load(folder).getVectors().select("word")
+    """The vectors of the loaded model are those of the saved one."""
+    folder, model = new_folder(spark, "vectors"), trained(spark, sf)
+    model.save(folder)
+    loaded = Word2VecModel.load(folder).getVectors().select("word", vector_to_array("vector").alias("loaded"))
+    saved = model.getVectors().select("word", vector_to_array("vector").alias("saved"))
+    return saved.join(loaded, "word").select("word", (F.col("saved") == F.col("loaded")).alias("same"))
 
 
 @query(

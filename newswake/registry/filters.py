@@ -8,12 +8,15 @@ from newswake import catalog
 from newswake.catalog import table
 from newswake.constants import EXCLUDED_TITLES
 from newswake.functions.text import clean_title
+from newswake.functions.timing import day_window
 from newswake.operators import aggregates as A
 from newswake.operators import filters as P
 from newswake.operators import merge as M
 from newswake.registry import base as B
 from newswake.registry.base import query
 from newswake.registry.scalars import CLEAN_TITLE
+from newswake.session import new_folder
+from newswake.sources import stores as S
 from newswake.sources.stores import scan_posts as scan
 
 TRACK = ["die", "êaux", "that the", "zzz"]
@@ -72,6 +75,29 @@ def compound_filter(spark, sf):
     return rows.filter(P.event_posts_filter(["error", "view"], [3, 5])).select("post_id")
 
 
+def event_index(spark, sf) -> str:
+    folder = new_folder(spark, "post-events")
+    S.write_post_events(catalog.posts(spark, sf), folder, buckets=16)
+    return folder
+
+
+@query("event_rows", "SELECT doc_id AS post_id, source AS event_id FROM documents WHERE source = 'src3'")
+def event_rows(spark, sf):
+    """``nested_event_match`` by the flat table of events."""
+    return S.event_rows(spark, event_index(spark, sf), "src3", buckets=16).select("post_id", "event_id")
+
+
+@query(
+    "rows_of_events",
+    f"""WITH {B.POSTS} SELECT post_id, event_id FROM posts
+WHERE event_date BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-04'""",
+)
+def rows_of_events(spark, sf):
+    """The posts of the events of a day."""
+    of_day = A.event_counts(catalog.posts(spark, sf), *day_window("20240103"), min_posts=1)
+    return S.rows_of_events(spark, event_index(spark, sf), of_day, buckets=16).select("post_id", "event_id")
+
+
 @query("nested_event_match", "SELECT doc_id AS post_id FROM documents WHERE source = 'src3'")
 def nested_event_match(spark, sf):
     return P.nested_event_match(catalog.posts(spark, sf), "src3").select("post_id")

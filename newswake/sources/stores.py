@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newswake.constants import LINES_PER_FILE
 from newswake.functions.text import safe_tag, words
 from newswake.functions.timing import epoch_millis
+from newswake.operators.aggregates import post_events
 from newswake.operators.joins import one_per_element
 
 
@@ -86,6 +87,32 @@ def write_bucketed(posts: DataFrame, table: str, buckets: int = 1024, key: str =
     posts.write.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
+def _bucket(event_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(event_id), F.lit(buckets)).cast("int")
+
+
+def write_post_events(posts: DataFrame, path: str, buckets: int = 256) -> None:
+    """A flat row per post and event, in a folder per hash of the event and sorted by event in its files.
+
+    Nested events cannot be pushed to a reader: here an event is looked up in
+    the files of its folder only, and in them by their statistics.
+    """
+    rows = post_events(posts, "post_id").withColumn("bucket", _bucket(F.col("event_id"), buckets))
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "event_id").write.partitionBy("bucket").parquet(path)
+
+
+def event_rows(spark: SparkSession, path: str, event_id: str, buckets: int = 256) -> DataFrame:
+    """The rows of one event: only its folder is read."""
+    rows = spark.read.parquet(path)
+    return rows.filter((F.col("bucket") == _bucket(F.lit(event_id), buckets)) & (F.col("event_id") == event_id)).drop("bucket")
+
+
+def rows_of_events(spark: SparkSession, path: str, events: DataFrame, buckets: int = 256) -> DataFrame:
+    """The rows of the listed events; which folders are read is decided when the list is known."""
+    listed = events.select("event_id").distinct().withColumn("bucket", _bucket(F.col("event_id"), buckets))
+    return spark.read.parquet(path).join(listed, ["bucket", "event_id"]).drop("bucket")
+
+
 def vocab_update(vocab: DataFrame, entities: DataFrame) -> DataFrame:
     """Vocabulary with every entity word in lower case added."""
     cells = F.concat("locations", "people", "organisations")

@@ -346,3 +346,61 @@ def test_planted_topics_are_found(spark):
     for r in T.top_words_per_topic(model, 10).collect():
         found = [own[w] for w in r.words.split() if w in own]
         assert len(found) >= 5 and {min(topics[k]) for k in found} == {r.topic}
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_nearest_against_all_pairs(spark, block):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = np.round(rng.normal(size=(60, 5)), 2)
+    vectors[10] = vectors[20]  # a tie
+    vectors[30] = 0
+    df = spark.createDataFrame([(f"w{k:02d}", v.tolist()) for k, v in enumerate(vectors)], "word string, vector array<double>")
+    got = {}
+    for r in V.nearest(df, df.filter("word < 'w35'"), 4, block=block).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append(r.word)
+    assert set(got) == {f"w{k:02d}" for k in range(35) if k != 30}
+    for query, words in got.items():
+        a = vectors[int(query[1:])]
+        rated = sorted((-round(float(a @ v / np.linalg.norm(a) / np.linalg.norm(v)), 9), f"w{k:02d}") for k, v in enumerate(vectors) if v.any() and f"w{k:02d}" != query)
+        assert words == [w for _, w in rated[:4]]
+
+
+def test_event_is_read_from_its_folder(spark):
+    from newswake.functions.posts import has_event
+    from newswake.session import new_folder
+    from newswake.sources import stores as S
+
+    given = posts(spark, [(i, str(i), "x", [f"e{i % 9}", f"e{i % 4}"], ["t"], None) for i in range(200)])
+    folder = new_folder(spark, "post-events")
+    S.write_post_events(given, folder, buckets=8)
+    found = S.event_rows(spark, folder, "e3", buckets=8)
+    assert {r.post_id for r in found.collect()} == {r.post_id for r in given.filter(has_event(F.col("events"), "e3")).collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit("e3")), F.lit(8)).cast("int")).first()[0]
+    assert f" = {bucket})" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    listed = spark.createDataFrame([("e3",), ("e8",)], "event_id string")
+    joined = S.rows_of_events(spark, folder, listed, buckets=8)
+    assert joined.filter("event_id = 'e3'").count() == found.count()
+    assert "dynamicpruning" in joined._jdf.queryExecution().executedPlan().toString().lower() or joined.count() == sum(
+        1 for i in range(200) for e in (f"e{i % 9}", f"e{i % 4}") if e in ("e3", "e8"))
+
+
+def test_vectors_of_phrases(spark):
+    """Words that are neighbours in the same sentences are nearest, and a phrase is a word of its own."""
+    import random
+
+    rng = random.Random(1)
+    themes = [["pluie", "vent", "orage", "nuage", "neige"], ["vote", "urne", "maire", "scrutin", "parti"]]
+    rows = []
+    for k in range(600):
+        words = rng.choices(themes[k % 2], k=8)
+        if k % 3 == 0:
+            words[2:2] = ["bob", "dylan"]
+        rows.append((str(k), words))
+    rows += [(f"x{k}", [f"a{k}", f"b{k}"]) for k in range(1500)]  # a phrase is judged against the size of the vocabulary
+    model = V.train_phrase_vectors(spark.createDataFrame(rows, "key string, tokens array<string>"), "key", size=20, iterations=8)
+    known = {r.word for r in model.getVectors().collect()}
+    assert "bob_dylan" in known and "bob" not in known
+    assert [r.word for r in model.findSynonyms("pluie", 3).collect() if r.word in themes[1]] == []
