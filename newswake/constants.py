@@ -5,15 +5,19 @@ from __future__ import annotations
 # ---- Fixed values: they decide which rows and terms a result holds. -------
 
 # Words dropped from dispatch titles and from term features.
-STOP_WORDS = (
-    "00 000 01 02 03 04 05 06 07 08 09 a alors au aucun aussi autre aux avant avec avoir bon c ca car ce cela "
-    "ces ceux chaque ci comme comment d dans de des dedans dehors depuis devrait doit donc du elle elles en "
-    "encore est et etaient etions ete etre eu fait faites fois font hors ici il ils je juste l la le les leur ma "
-    "maintenant mais mes moins mon mot meme n ne ni notre nous ont ou par parce pas peut peu plupart pour "
-    "pourquoi quand que quel quelle quelles quels qui s sa sans ses seulement si sien son sont sous soyez sujet "
-    "sur ta tandis tellement tels tes ton tous tout trop tres tu un une voient vont votre vous vu rt francais "
-    "francaise france paris parisien afp parisienne Twitter politique"
-).split()
+STOP_WORDS = [
+    "00", "000", "01", "02", "03", "04", "05", "06", "07", "08", "09", "a", "alors", "au", "aucun", "aussi", "autre",
+    "aux", "avant", "avec", "avoir", "bon", "c", "ca", "car", "ce", "cela", "ces", "ceux", "chaque", "ci", "comme",
+    "comment", "d", "dans", "de", "des", "dedans", "dehors", "depuis", "devrait", "doit", "donc", "du", "elle",
+    "elles", "en", "encore", "est", "et", "etaient", "etions", "ete", "etre", "eu", "fait", "faites", "fois", "font",
+    "hors", "ici", "il", "ils", "je", "juste", "l", "la", "le", "les", "leur", "ma", "maintenant", "mais", "mes",
+    "moins", "mon", "mot", "meme", "n", "ne", "ni", "notre", "nous", "ont", "ou", "par", "parce", "pas", "peut",
+    "peu", "plupart", "pour", "pourquoi", "quand", "que", "quel", "quelle", "quelles", "quels", "qui", "s", "sa",
+    "sans", "ses", "seulement", "si", "sien", "son", "sont", "sous", "soyez", "sujet", "sur", "ta", "tandis",
+    "tellement", "tels", "tes", "ton", "tous", "tout", "trop", "tres", "tu", "un", "une", "voient", "vont", "votre",
+    "vous", "vu", "rt", "francais", "francaise", "france", "paris", "parisien", "afp", "parisienne", "Twitter",
+    "politique",
+]
 
 # Entity words that make no useful query.
 EXCLUDED_ENTITIES = ["", "francais", "francaise", "j", "son", "france", "paris", "parisien", "afp", "parisienne"]
