@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newswake import catalog
 from newswake.catalog import table
+from newswake.operators.joins import top_n_per_group
 from newswake.registry import base as B
 from newswake.registry.base import query
 from newswake.registry.filters import TRACK
@@ -107,6 +108,24 @@ def stream_upsert(spark, sf):
     return flat(U.read_posts(spark, store))
 
 
+@query(
+    "stream_trends",
+    """WITH counts AS (
+  SELECT date_trunc('hour', ts) AS hour, event_type AS hashtag, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), event_type)
+SELECT hour, hashtag, n FROM counts
+QUALIFY row_number() OVER (PARTITION BY hour ORDER BY n DESC, hashtag) <= 2""",
+)
+def stream_trends(spark, sf):
+    """The two most frequent tags of every hour, counted as the files arrive, in no order of time."""
+    folder, store = new_folder(spark, "arrived"), new_folder(spark, "trends")
+    events = table(spark, sf, "events")
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(folder)
+    arrived = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows = arrived.select(F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("hour"), F.col("event_type").alias("hashtag"))
+    I.run_to_end(U.count_stream(rows, store, new_folder(spark, "trends-checkpoint"), ["hour", "hashtag"]))
+    return top_n_per_group(U.read_counts(spark, store), ["hour"], [F.desc("n"), F.asc("hashtag")], 2, ["hashtag"])
+
+
 @query("stream_stop", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
 def stream_stop(spark, sf):
     """A stream that is started again goes on where it ended: nothing is stored twice."""

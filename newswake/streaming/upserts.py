@@ -102,22 +102,25 @@ def add_version(
         deletes.select(key).distinct().write.parquet(f"{store}/{folder}/deletes")
     if bad is not None:
         bad.write.parquet(f"{store}/{folder}/bad")
-    _point(spark, store, _merged(spark, store, Pointer(last.number + 1, batch, [*last.versions, (0, folder)]), key, list(arrays)))
+    merges = {"parts": lambda rows: merge_parts(rows, key, list(arrays)), "deletes": DataFrame.distinct, "bad": lambda rows: rows}
+    _point(spark, store, _merged(spark, store, Pointer(last.number + 1, batch, [*last.versions, (0, folder)]), merges))
     return True
 
 
-def _merged(spark: SparkSession, store: str, now: Pointer, key: str, arrays: list[str]) -> Pointer:
-    """The pointer with ``MERGED`` versions of one size as one of the next size, as often as there are so many."""
+def _merged(spark: SparkSession, store: str, now: Pointer, merges: dict[str, Callable[[DataFrame], DataFrame]]) -> Pointer:
+    """The pointer with ``MERGED`` versions of one size as one of the next size, as often as there are so many.
+
+    ``merges`` says for each table of a version how the rows of several become those of one.
+    """
     size = 0
     while any(s >= size for s, _ in now.versions):
         chosen = [v for v in now.versions if v[0] == size]
         if len(chosen) >= MERGED:
             folder = f"v={now.batch:012d}-{uuid.uuid4().hex[:12]}"
-            merge_parts(_table(spark, store, chosen, "parts"), key, arrays).write.parquet(f"{store}/{folder}/parts")
-            for name in ("deletes", "bad"):
+            for name, merge in merges.items():
                 rows = _table(spark, store, chosen, name)
                 if rows is not None:
-                    (rows.distinct() if name == "deletes" else rows).write.parquet(f"{store}/{folder}/{name}")
+                    merge(rows).write.parquet(f"{store}/{folder}/{name}")
             now.versions = [(size + 1, folder), *[v for v in now.versions if v[0] != size]]
         size += 1
     return now
@@ -205,3 +208,31 @@ def ingest_posts(
         return posts, parsed.filter("kind = 'delete'").select("post_id"), parsed.filter("kind = 'bad'").select("line", "post_id")
 
     return upsert_stream(read_capture_stream(spark, source, files_per_batch), store, checkpoint, prepare)
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy(*[c for c in counts.columns if c != "n"]).agg(F.sum("n").alias("n"))
+
+
+def count_stream(rows: DataFrame, store: str, checkpoint: str, keys: Sequence[str | Column]) -> StreamingQuery:
+    """Counts the rows of a stream per key (such as the hour and hashtag of a post) into a store, until all that is there is counted.
+
+    A micro-batch adds its own counts as a version. Nothing is too late to be
+    counted, no state is held, and a batch that comes again is not counted twice.
+    """
+    def add(batch: DataFrame, number: int) -> None:
+        spark, last = batch.sparkSession, pointer(batch.sparkSession, store)
+        if number > last.batch:
+            folder = f"v={number:012d}-{uuid.uuid4().hex[:12]}"
+            batch.groupBy(*keys).agg(F.count("*").alias("n")).write.parquet(f"{store}/{folder}/counts")
+            _point(spark, store, _merged(spark, store, Pointer(last.number + 1, number, [*last.versions, (0, folder)]), {"counts": _summed}))
+
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_counts(spark: SparkSession, store: str) -> DataFrame:
+    """The keys and ``n`` over all batches that were counted."""
+    counts = _table(spark, store, pointer(spark, store).versions, "counts")
+    if counts is None:
+        raise ValueError(f"{store} is empty")
+    return _summed(counts)

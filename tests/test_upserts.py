@@ -126,3 +126,21 @@ def test_event_folders_as_a_stream(spark, tmp_path):
     run_to_end(U.ingest_posts(spark, str(tmp_path / "afp*"), store, str(tmp_path / "check"), 1, captures=event_captures))
     got = {r.post_id: (r.tags, [e.id[-2:] for e in r.events]) for r in U.read_posts(spark, store).collect()}
     assert got == {1: (["a"], ["X0"]), 2: (["a", "b"], ["X0", "X1"]), 3: (["b", "a"], ["X1", "X2"])}
+
+
+def test_counts_of_a_stream(spark, tmp_path):
+    """Late files are counted, a second run counts nothing twice, and merged versions keep the sums."""
+    run = lambda: run_to_end(U.count_stream(
+        spark.readStream.schema("h int, tag string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")), str(tmp_path / "store"),
+        str(tmp_path / "check"), ["h", "tag"]))
+    rng, want = random.Random(1), {}
+    for k in range(10):
+        rows = [(rng.randrange(4), rng.choice("ab")) for _ in range(12)]
+        for r in rows:
+            want[r] = want.get(r, 0) + 1
+        arrive(tmp_path / "in", f"{k}.json", [json.dumps({"h": h, "tag": t}) for h, t in rows], 5000 * (k % 3))
+        if k in (7, 9):
+            run()
+            run()
+            assert {(r.h, r.tag): r.n for r in U.read_counts(spark, str(tmp_path / "store")).collect()} == want
+    assert [s for s, _ in U.pointer(spark, str(tmp_path / "store")).versions] == [1, 0, 0]
