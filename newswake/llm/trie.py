@@ -20,35 +20,127 @@ from newswake.session import written
 ADD = 0.1  # to each count of a token
 STRENGTH = 50.0  # occurrences that the unigram model counts for in a context
 HOT_SHARE = 5000  # a word with more than bytes / HOT_SHARE occurrences is hot: less than HOT_SHARE words
-WORD_BYTES, PAIR_BYTES = 6, 7
-CONTEXT_BITS, PREDICTED_BITS = 24, 32
+WORD_BYTES, PAIR_BYTES = 6, 8
+CONTEXT_BITS, PREDICTED_BITS = 32, 32
 CODES = 256  # of quantised values
+NO_ID = -(1 << 63)  # stands for a null id inside; a document of this id counts as one without
 BEGIN, END = b"\n<begin>", b"\n<end>"  # no words: they hold white space
 
 
+BLOCK_WORDS = 8  # 64-bit words of the unary part per entry of its directory
+
+
+def _words(data: bytes, spare: int = 0) -> bytes:
+    """Filled up with zeros to whole 64-bit words, and ``spare`` more."""
+    return data + bytes(-len(data) % 8 + 8 * spare)
+
+
 class EliasFano:
-    """A sequence of numbers that never falls: low bits packed, high bits in unary."""
+    """A sequence of numbers that never falls: low bits packed, high bits in unary.
 
-    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
+    The unary part holds a one per number and a zero behind the numbers of each
+    high part. ``zeros`` tells the zeros before every BLOCK_WORDS words, so
+    a zero or a one is found by a search in this directory and counts of
+    bits in the words of one block. Numbers are read and searched in this
+    form, for many places at once; only ``decode`` writes all of them out.
+    """
+
+    def __init__(self, n: int, low_bits: int, top: int, low: bytes, high: bytes, zeros: bytes):
+        self.n, self.low_bits, self.top, self.low = n, low_bits, top, np.frombuffer(low, "<u8")
+        self.high, self.zeros = np.frombuffer(high, "<u8"), np.frombuffer(zeros, "<u4")
 
     @classmethod
-    def of(cls, values: np.ndarray) -> EliasFano:
+    def parts(cls, values: np.ndarray) -> tuple[tuple[int, int, int], list[bytes]]:
+        """Numbers (n, low_bits, top) and byte strings, of whole words, from which a sequence is made."""
         n = len(values)
-        top = int(values[-1]) if n else 0
-        low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
+        largest = int(values[-1]) if n else 0
+        low_bits = max(0, (largest // max(n, 1)).bit_length() - 1)
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        bits = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
+        size = int(ones[-1]) + 2 if n else 0
+        bits = np.zeros(-(-size // (64 * BLOCK_WORDS)) * 64 * BLOCK_WORDS, np.uint8)
         bits[ones] = 1
+        high = np.packbits(bits, bitorder="little")
+        full = np.bitwise_count(high.view("<u8")).reshape(-1, BLOCK_WORDS).sum(axis=1, dtype=np.int64)
+        before = np.concatenate(([0], np.cumsum(64 * BLOCK_WORDS - full)[:-1])) if n else np.empty(0)
         low = pack(values & np.uint64((1 << low_bits) - 1), low_bits) if low_bits else b""
-        return cls(n, low_bits, low, np.packbits(bits, bitorder="little").tobytes())
+        shape = (n, low_bits, largest >> low_bits)
+        return shape, [_words(low, 1), high.tobytes(), _words(before.astype("<u4").tobytes())]
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> EliasFano:
+        shape, parts = cls.parts(values)
+        return cls(*shape, *parts)
 
     def decode(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[:self.n]
+        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[:self.n]
         high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
         if not self.low_bits:
             return high
-        return high | _wide(self.low, self.low_bits, self.n)
+        return high | _wide(self.low.tobytes(), self.low_bits, self.n)
+
+    def _select(self, rank: np.ndarray, one: bool) -> np.ndarray:
+        """The place of the zero, or one, that has ``rank`` others before it."""
+        blocks = len(self.high) // BLOCK_WORDS
+        zeros = self.zeros[:blocks].astype(np.int64)
+        before = np.arange(blocks) * (64 * BLOCK_WORDS) - zeros if one else zeros
+        block = np.searchsorted(before, rank, side="right") - 1
+        rank = rank - before[block]
+        words = self.high.reshape(-1, BLOCK_WORDS)[block]
+        if not one:
+            words = ~words
+        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        at = (upto <= rank[:, None]).sum(axis=1)
+        rows = np.arange(len(rank))
+        rank = rank - np.where(at > 0, upto[rows, at - 1], 0)
+        word, place = words[rows, at], np.zeros(len(rank), np.int64)
+        for half in (32, 16, 8, 4, 2, 1):
+            lower = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = rank >= lower
+            rank = np.where(up, rank - lower, rank)
+            word = np.where(up, word >> np.uint64(half), word)
+            place += half * up
+        return block * (64 * BLOCK_WORDS) + at * 64 + place
+
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        if not self.low_bits:
+            return np.zeros(len(at), np.uint64)
+        bit = at * self.low_bits
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        both = self.low[word] >> shift
+        # A shift by 64 is not defined, so the upper word is shifted in two steps.
+        both |= (self.low[word + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+        return both & np.uint64((1 << self.low_bits) - 1)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """The numbers at some places."""
+        high = (self._select(at, True) - at).astype(np.uint64)
+        return high << np.uint64(self.low_bits) | self._low(at)
+
+    def find(self, wanted: np.ndarray, first=0, last=None) -> np.ndarray:
+        """The place of each number in places ``first`` to ``last`` (exclusive), or -1 if it is not there.
+
+        The zeros before and behind its high part bound the successor; the low
+        bits of the places between are searched by halves.
+        """
+        high = (wanted >> np.uint64(self.low_bits)).astype(np.int64)
+        inside = high <= self.top
+        high = np.where(inside, high, 0)
+        begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - high + 1, 0)
+        end = np.where(inside, self._select(high, False) - high, 0)
+        begin, end = np.maximum(begin, first), end if last is None else np.minimum(end, last)
+        low, stop = wanted & np.uint64((1 << self.low_bits) - 1), end.copy()
+        open_ = np.flatnonzero(begin < stop)
+        while len(open_):
+            middle = (begin[open_] + stop[open_]) >> 1
+            below = self._low(middle) < low[open_]
+            begin[open_[below]] = middle[below] + 1
+            stop[open_[~below]] = middle[~below]
+            open_ = open_[begin[open_] < stop[open_]]
+        place = np.full(len(wanted), -1, np.int64)
+        some = np.flatnonzero(begin < end)
+        hit = some[self._low(begin[some]) == low[some]]
+        place[hit] = begin[hit]
+        return place
 
 
 def _wide(data, width: int, n: int) -> np.ndarray:
@@ -74,7 +166,8 @@ class Trie:
     which rise as well. In level 2 the contexts of a word rise and the words
     follow each other, so a context is stored relative to its word, as
     place of the word * 2^CONTEXT_BITS + context. All three are Elias-Fano
-    coded. A context is found by searching the successor of that number.
+    coded. A word is searched in level 1, two pointers bound its children, and a
+    context is found by the successor of its number among these. No level is written out.
     """
 
     def __init__(self, words: np.ndarray, contexts: np.ndarray, values: np.ndarray):
@@ -82,41 +175,36 @@ class Trie:
         keys, place, sizes = np.unique(words, return_inverse=True, return_counts=True)
         relative = (place.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | contexts
         codes, book = quantised(values) if len(values) else (np.empty(0, np.uint8), np.empty(0))
-        levels = [EliasFano.of(x) for x in (keys, np.concatenate(([0], np.cumsum(sizes))).astype(np.uint64), relative)]
-        parts = [p for x in levels for p in (x.low, x.high)] + [codes.tobytes(), book.astype("<f8").tobytes()]
-        self.shapes = [(x.n, x.low_bits) for x in levels]
-        self.bounds = np.cumsum([0, *map(len, parts)]).tolist()
+        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.uint64)
+        levels = [EliasFano.parts(x) for x in (keys, ends, relative)]
+        parts = [p for _, own in levels for p in own] + [_words(codes.tobytes()), book.astype("<f8").tobytes()]
+        bounds = np.cumsum([0, *map(len, parts)]).tolist()
         with tempfile.TemporaryFile() as f:  # nameless: it is gone with its last use
             f.write(b"".join(parts) or b"\0")
             f.flush()
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-
-    def part(self, k: int) -> memoryview:
-        return memoryview(self.map)[self.bounds[k]:self.bounds[k + 1]]
-
-    def level(self, k: int) -> np.ndarray:
-        n, low_bits = self.shapes[k]
-        return EliasFano(n, low_bits, self.part(2 * k), self.part(2 * k + 1)).decode()
+            whole = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+        mapped = [whole[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        self.keys, self.ends, self.children = (
+            EliasFano(*shape, *mapped[3 * k:3 * k + 3]) for k, (shape, _) in enumerate(levels))
+        self.codes, self.book = np.frombuffer(mapped[9], np.uint8), np.frombuffer(mapped[10], "<f8")
 
     def values(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         """The value of each pair, 0 where it was not seen."""
         out = np.zeros(len(words))
-        keys = self.level(0)
-        if not len(keys):
+        if not self.keys.n:
             return out
-        place = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
-        wanted = (place.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | contexts
-        children = self.level(2)
-        at = np.minimum(np.searchsorted(children, wanted), len(children) - 1)
-        pointers = self.level(1)
-        seen = (keys[place] == words) & (children[at] == wanted) & (at < pointers[place + 1].astype(np.int64))
-        codes, book = np.frombuffer(self.part(6), np.uint8), np.frombuffer(self.part(7), "<f8")
-        out[seen] = book[codes[at[seen]]]
+        different, asked = np.unique(words, return_inverse=True)
+        place = self.keys.find(different)
+        known = place[asked] >= 0
+        first, last = (self.ends.get(np.maximum(place, 0) + k).astype(np.int64)[asked[known]] for k in (0, 1))
+        wanted = (place[asked[known]].astype(np.uint64) << np.uint64(CONTEXT_BITS)) | contexts[known]
+        at = self.children.find(wanted, first, last)
+        out[np.flatnonzero(known)[at >= 0]] = self.book[self.codes[at[at >= 0]]]
         return out
 
 
-def is_training(doc: int | None) -> bool:
-    return zlib.crc32(str(doc).encode()) % 10 != 0
+def is_training(doc: int) -> bool:
+    return doc != NO_ID and zlib.crc32(str(doc).encode()) % 10 != 0
 
 
 def _training(docs: np.ndarray) -> np.ndarray:
@@ -153,11 +241,12 @@ def score(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
     known after the first exchange; their pairs are dealt out by the context as well. The
     sums of a document are added up by Spark.
 
-    Null texts are empty: one end token. Rows without an id cannot be told
-    apart by the hold-out rule and are left out. Rows that repeat an id are one
-    document whose texts are summed. An empty table gives an empty one.
+    Null texts are empty: one end token. Rows that repeat an id are one
+    document whose texts are summed, and so are rows without an id; the
+    hold-out rule cannot be asked for these, so they are held out. An empty table gives an empty one.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), filled(F.col("text")).alias("text")).filter("doc_id IS NOT NULL")
+    doc_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    rows = docs.select(doc_id.alias("doc_id"), filled(F.col("text")).alias("text"))
     shards = shard_count(rows)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     hot_from = size / HOT_SHARE
@@ -195,8 +284,7 @@ def score(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
     unigrams = by_shard(rows.mapInPandas(words, BLOB), count, ANSWER)
     unigrams = written(unigrams.groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in "xyz"]), "words")
     totals = unigrams.filter("kind = 1").first()
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0
-    ids = rows.select("doc_id").distinct().withColumn("held_out", held)
+    held = (F.col("doc_id") == NO_ID) | (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0)
     copies = rows.groupBy("doc_id").agg(F.count("*").alias("rows")).withColumn("held_out", held)
     n_training = float(copies.filter("NOT held_out").agg(F.sum("rows")).first()[0] or 0)
     total = (totals["x"] if totals else 0.0) + n_training
@@ -265,7 +353,7 @@ def score(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
     base = zero("x") + F.col("rows") * math.log10(n_training + ADD) - n_tokens * math.log10(mass)
     whole = base + zero("z") + F.col("rows") * math.log10(strength / (n_training + strength)) + zero("gain")
     return per.select(
-        "doc_id", "held_out", n_tokens.cast("bigint").alias("n_tokens"),
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "held_out", n_tokens.cast("bigint").alias("n_tokens"),
         (zero("y") + F.col("rows") * int(n_training > 0)).cast("bigint").alias("n_known"),
         F.lit(int(total)).cast("bigint").alias("train_tokens"), base.alias("base_score"), whole.alias("score"))
 

@@ -1,9 +1,11 @@
 import math
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from newswake.llm.trie import ADD, STRENGTH, EliasFano, Trie, quantised, score
@@ -48,7 +50,10 @@ def test_edges(spark, docs):
     rows = [(1, None), (2, ""), (3, "A a\x0bA É é"), (4, "the " * 100_000), (5, "the cat"), (7, "\x1c x y")]
     compare(score(docs(*rows)).collect(), *scores(rows))
     assert score(docs()).count() == 0
-    assert score(docs((None, "a b"), (1, "a"))).count() == 1
+    none, one = score(docs((None, "a b"), (1, "a"), (None, "c"))).orderBy(F.asc_nulls_first("doc_id")).collect()
+    assert (none.doc_id, none.held_out, none.n_tokens, none.n_known) == (None, True, 5, 3)
+    assert (one.doc_id, one.train_tokens, none.train_tokens) == (1, 2, 2)
+    assert score(docs((None, "a b"))).first().train_tokens == 0
     twice = score(docs((1, "a b"), (1, "a b"), (2, "a"))).filter("doc_id = 1").first()
     assert twice.n_tokens == 6
 
@@ -58,9 +63,32 @@ def test_elias_fano_round_trip(values):
     assert EliasFano.of(np.array(values, np.uint64)).decode().tolist() == values
 
 
+def test_numbers_are_found_and_read_in_place():
+    """Against Python's own search, with long runs, wide gaps and bounds on the places."""
+    rng = np.random.default_rng(3)
+    for values in ([4], [0, 0, 0], list(range(5000)), [*range(1000), 1 << 40, (1 << 40) + 1],
+                   rng.integers(0, 1 << 44, 20_000).tolist(), rng.integers(0, 900, 20_000).tolist(), [(k << 32) + 7 for k in range(3000)]):
+        values = sorted(values)
+        coded = EliasFano.of(np.array(values, np.uint64))
+        assert coded.get(np.arange(len(values))).tolist() == values
+        asked = np.concatenate((values, rng.integers(0, values[-1] + 10, 5000), [0, values[-1] + 1, 1 << 62])).astype(np.uint64)
+        want = [bisect_left(values, x) for x in asked.tolist()]
+        found = coded.find(asked)
+        assert found.tolist() == [k if k < len(values) and values[k] == x else -1 for k, x in zip(want, asked.tolist(), strict=True)]
+        last = np.full(len(asked), len(values) // 2)
+        assert coded.find(asked, 0, last).tolist() == np.where(found < last, found, -1).tolist()
+
+
+def test_lookups_write_no_level_out(monkeypatch):
+    words, contexts = np.repeat(np.arange(1000, dtype=np.uint64) * np.uint64(977), 5), np.tile(np.arange(5, dtype=np.uint64), 1000)
+    trie = Trie(words, contexts, np.arange(5000) % 200 / 7)
+    monkeypatch.setattr(EliasFano, "decode", lambda self: pytest.fail("a level was written out"))
+    assert np.allclose(trie.values(words, contexts), np.arange(5000) % 200 / 7)
+
+
 def test_trie_against_a_dict():
     rng = np.random.default_rng(1)
-    pairs = sorted({(int(a) << 20, int(b)) for a, b in zip(rng.integers(0, 300, 4000), rng.integers(0, 1 << 24, 4000), strict=True)})
+    pairs = sorted({(int(a) << 20, int(b)) for a, b in zip(rng.integers(0, 300, 4000), rng.integers(0, 1 << 32, 4000), strict=True)})
     words, contexts = (np.array(x, np.uint64) for x in zip(*pairs, strict=True))
     values = rng.integers(0, 200, len(pairs)) / 7
     trie = Trie(words, contexts, values)
