@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from newswake.constants import MIN_FIELD_POSTS, MIN_TERM_TEXTS, STOP_WORDS
 from newswake.functions.text import remove_stopwords, strip_urls_mentions, term_grams, tokenize_terms
 from newswake.operators.aggregates import field_counts, post_events
-from newswake.operators.joins import one_per_element, salted_join
+from newswake.operators.joins import one_per_element, salted_join, sized_join
+from newswake.session import written
 
 
 def text_terms(groups: DataFrame, n_min: int = 2, n_max: int = 3, stop_words=STOP_WORDS) -> DataFrame:
@@ -20,10 +21,14 @@ def text_terms(groups: DataFrame, n_min: int = 2, n_max: int = 3, stop_words=STO
 
 
 def ngram_presence(groups: DataFrame, n_min: int = 2, n_max: int = 3, min_texts: int = MIN_TERM_TEXTS) -> DataFrame:
-    """Terms per text, of the terms that occur in at least ``min_texts`` texts over all events."""
-    presence = text_terms(groups, n_min, n_max)
+    """Terms per text, of the terms that occur in at least ``min_texts`` texts over all events.
+
+    The terms are written, so each text is tokenised once, and the frequent
+    ones are counted before they are joined.
+    """
+    presence = written(text_terms(groups, n_min, n_max), "presence")
     texts = presence.groupBy("term").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_texts)
-    return salted_join(presence, texts.select("term"), ["term"], ["event_id", "root_id"])
+    return sized_join(presence, texts.select("term"), ["term"], ["event_id", "root_id"])
 
 
 def weighted_ngrams(groups: DataFrame, n_min: int = 2, n_max: int = 3) -> DataFrame:
@@ -31,22 +36,29 @@ def weighted_ngrams(groups: DataFrame, n_min: int = 2, n_max: int = 3) -> DataFr
     return ngram_presence(groups, n_min, n_max).select("event_id", "root_id", "term", F.col("n").alias("weight"))
 
 
-def event_text_matrix(groups: DataFrame, n_min: int = 2, n_max: int = 3, min_texts: int = MIN_TERM_TEXTS) -> DataFrame:
-    """Occurrences of each term in each event, reposts counted.
+def event_text_cells(groups: DataFrame, n_min: int = 2, n_max: int = 3, min_texts: int = MIN_TERM_TEXTS) -> DataFrame:
+    """Occurrences of each term in each event, reposts counted, and the number of events ``df`` that have the term.
 
     The texts are summed per event and term with partial aggregation, so the
     text is read once and a frequent term is reduced before it is shuffled.
     Only then the cells of a term meet, at most one per event, to tell
-    whether it occurs in enough texts.
+    whether it occurs in enough texts and in how many events: one shuffle by term for both.
     """
     cells = (
         text_terms(groups, n_min, n_max)
         .groupBy("event_id", "term")
         .agg(F.sum("n").alias("value"), F.count("*").alias("texts"))
     )
-    texts = F.sum("texts").over(Window.partitionBy("term"))
-    frequent = cells.withColumn("_texts", texts).filter(F.col("_texts") >= min_texts)
-    return frequent.select("event_id", "term", "value")
+    of_term = Window.partitionBy("term")
+    counted = cells.select(
+        "event_id", "term", "value", F.sum("texts").over(of_term).alias("texts"), F.count("*").over(of_term).alias("df")
+    )
+    return counted.filter(F.col("texts") >= min_texts).drop("texts")
+
+
+def event_text_matrix(groups: DataFrame, n_min: int = 2, n_max: int = 3, min_texts: int = MIN_TERM_TEXTS) -> DataFrame:
+    """Occurrences of each term in each event, reposts counted: ``event_id, term, value``."""
+    return event_text_cells(groups, n_min, n_max, min_texts).drop("df")
 
 
 def event_hashtag_matrix(
@@ -66,12 +78,14 @@ def tfidf(matrix: DataFrame, n_events: Column) -> DataFrame:
     """Smoothed TF-IDF with rows of length one.
 
     ``idf = ln((1 + events) / (1 + events with the term)) + 1``. A term has
-    at most one cell per event. The norm of a hot event is summed in the map
+    at most one cell per event. Where the matrix has no column ``df`` (events
+    with the term) it is counted. The norm of a hot event is summed in the map
     tasks and spread over salts for the join.
     """
-    df = F.count("*").over(Window.partitionBy("term"))
+    if "df" not in matrix.columns:
+        matrix = matrix.withColumn("df", F.count("*").over(Window.partitionBy("term")))
     idf = F.log((n_events + F.lit(1.0)) / (F.col("df") + 1)) + 1
-    weighted = matrix.withColumn("df", df).select("event_id", "term", (F.col("value") * idf).alias("weight"))
+    weighted = matrix.select("event_id", "term", (F.col("value") * idf).alias("weight"))
     norms = weighted.groupBy("event_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     scaled = salted_join(weighted, norms, ["event_id"], ["term"])
     return scaled.select("event_id", "term", (F.col("weight") / F.col("norm")).alias("value"))

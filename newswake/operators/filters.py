@@ -23,15 +23,22 @@ def all_words(tokens: Column, needed: Column) -> Column:
 
 
 def track_any(text: Column, track: Sequence[str]) -> Column:
-    """True if any tracked entry occurs; an entry of several words needs all of them."""
-    tokens = search_tokens(text)
+    """True if any tracked entry occurs; an entry of several words needs all of them.
+
+    The tokens are bound to the variable of a lambda, so a text is folded and
+    split once however many entries are tracked.
+    """
     entries = [entry.split() for entry in track]
     single = [e[0] for e in entries if len(e) == 1]
-    tests = []
-    if single:
-        tests.append(F.arrays_overlap(tokens, search_tokens(F.array_join(F.array(*map(F.lit, single)), " "))))
-    tests += [all_words(tokens, search_tokens(F.lit(" ".join(e)))) for e in entries if len(e) > 1]
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+    def any_entry(tokens: Column) -> Column:
+        tests = []
+        if single:
+            tests.append(F.arrays_overlap(tokens, search_tokens(F.lit(" ".join(single)))))
+        tests += [all_words(tokens, search_tokens(F.lit(" ".join(e)))) for e in entries if len(e) > 1]
+        return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+    return F.exists(F.array(search_tokens(text)), any_entry)
 
 
 def search_all(text: Column, query: str | Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newswake.operators.joins import sized_join
+from newswake.operators.joins import counted_join, sized_join
+from newswake.session import written
 
 
 def _walk(steps: Column, start: Column, append) -> Column:
@@ -19,6 +20,45 @@ def _walk(steps: Column, start: Column, append) -> Column:
     return F.aggregate(steps, begin, step, lambda state: state["parts"])
 
 
+def _doubling(size: Column) -> Column:
+    """The powers of two up to a size of at least 1."""
+    return F.filter(F.array(*[F.lit(1 << e) for e in range(31)]), lambda power: power <= size)
+
+
+def vocabulary_starts(known: DataFrame) -> DataFrame:
+    """The first 1, 2, 4, 8, ... letters of the words (column ``piece``), each once: ``piece, longest, is_word``.
+
+    ``longest`` is the length of the longest word that begins so.
+    """
+    length = F.length("piece")
+    firsts = known.select(length.alias("length"), "piece", F.explode(_doubling(length)).alias("size"))
+    return firsts.groupBy(F.substring("piece", F.lit(1), F.col("size")).alias("piece")).agg(
+        F.max("length").alias("longest"), F.max(F.col("length") == F.col("size")).alias("is_word")
+    )
+
+
+def candidate_pieces(words: DataFrame, starts: DataFrame) -> DataFrame:
+    """Pieces of the words that may be in the vocabulary: ``word, start, end, piece``.
+
+    From each letter the next 1, 2, 4, 8, ... letters are looked up among the
+    starts of the vocabulary. Only where a word goes on so are the lengths up to
+    the next power of two tried, and none beyond the longest such word. So a
+    letter costs the logarithm of the rest and not a row per length.
+    """
+    places = words.filter(F.length("word") > 0).select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
+    rest = F.length("word") - F.col("start") + 1
+    probes = places.select("word", "start", F.explode(_doubling(rest)).alias("size"))
+    probes = probes.withColumn("piece", F.substring("word", F.col("start"), F.col("size")))
+    found = sized_join(probes, starts, ["piece"], ["word", "start"]).drop("piece")
+    first = F.when(F.col("is_word"), F.col("size")).otherwise(F.col("size") + 1)
+    last = F.least(F.col("size") * 2 - 1, F.col("longest"), rest)
+    sizes = found.filter(first <= last).select("word", "start", F.explode(F.sequence(first, last)).alias("size"))
+    return sizes.select(
+        "word", "start", (F.col("start") + F.col("size") - 1).alias("end"),
+        F.substring("word", F.col("start"), F.col("size")).alias("piece"),
+    )
+
+
 def segment_hashtags(hashtags: DataFrame, vocab: DataFrame, column: str = "word") -> DataFrame:
     """Each distinct hashtag in lower case with its segmentation.
 
@@ -27,21 +67,14 @@ def segment_hashtags(hashtags: DataFrame, vocab: DataFrame, column: str = "word"
     fewer words (the forward one if equal), unless the hashtag itself is
     longer.
 
-    Every piece of a hashtag is looked up in the vocabulary by a join. Of
-    the pieces found only the longest per start and per end go on, so at most
-    twice its length meet for one hashtag.
+    Pieces with which a vocabulary word may begin are looked up in the
+    vocabulary by a join. Of the pieces found only the longest per start and
+    per end go on, so at most twice its length meet for one hashtag.
     """
     distinct = hashtags.select(F.lower(column).alias("word")).distinct()
-    known = vocab.select(F.col("word").alias("piece")).filter(F.col("piece") != "").distinct()
-    longest = known.agg(F.max(F.length("piece"))).scalar()
-    starts = distinct.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
-    reach = F.least(F.length("word") - F.col("start") + 1, F.coalesce(longest, F.lit(0)))
-    spans = starts.filter(reach > 0).select("word", "start", F.explode(F.sequence(F.lit(1), reach)).alias("size"))
-    pieces = spans.select(
-        "word", "start", (F.col("start") + F.col("size") - 1).alias("end"),
-        F.substring("word", F.col("start"), F.col("size")).alias("piece"),
-    )
-    hits = sized_join(pieces, known, ["piece"], ["word"], how="left_semi")
+    known = written(vocab.select(F.col("word").alias("piece")).filter(F.col("piece") != "").distinct(), "vocabulary")
+    pieces = candidate_pieces(distinct, vocabulary_starts(known))
+    hits = counted_join(pieces, known, ["piece"], ["word"], how="left_semi")
 
     # (true, start, longest end) for the way forward, (false, -end, longest piece's -start) for the way back.
     ways = hits.select("word", F.explode(F.array(

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newswake.constants import MIN_EVENT_POSTS, MIN_FIELD_POSTS
 from newswake.functions.text import canonical_term
 from newswake.functions.timing import day_window, event_window
-from newswake.operators.aggregates import event_counts, field_counts, repost_groups
-from newswake.operators.features import event_hashtag_matrix, event_text_matrix, number_of_events, tfidf, top_term_per_event
+from newswake.operators.aggregates import field_counts, post_events, repost_groups
+from newswake.operators.features import event_hashtag_matrix, event_text_cells, number_of_events, tfidf, top_term_per_event
+from newswake.operators.filters import date_range
 from newswake.operators.joins import salted_join
 from newswake.operators.search import term_not_in_tags
 from newswake.session import written
@@ -29,18 +33,30 @@ def posts_of_events(posts: DataFrame, events: DataFrame) -> DataFrame:
     return kept.select(*columns, F.array("event").alias("events"))
 
 
-def weigh_terms(posts: DataFrame, words: str = "text", n_min: int = 2, n_max: int = 3) -> DataFrame:
+def events_in_windows(posts: DataFrame, windows: dict[str, tuple], min_posts: int) -> DataFrame:
+    """Per event whether it has enough posts dated in each named range (both ends included); events with none are left out.
+
+    One pass counts all ranges.
+    """
+    tests = {name: date_range(F.col("event_date"), *window) for name, window in windows.items()}
+    rows = post_events(posts).filter(reduce(or_, tests.values()))
+    counts = rows.groupBy("event_id").agg(*[(F.count_if(test) >= min_posts).alias(name) for name, test in tests.items()])
+    return counts.filter(reduce(or_, map(F.col, windows)))
+
+
+def weigh_terms(posts: DataFrame, words: str = "text", n_min: int = 2, n_max: int = 3, n_events: Column | None = None) -> DataFrame:
     """TF-IDF of the events of the posts, over the words of the texts or over the hashtags.
 
     The matrix is written first: weights and norms read it from there, and not the texts again.
+    Who knows the number of events gives it; else the posts are read once more for it.
     """
     if words == "text":
-        matrix = event_text_matrix(repost_groups(posts, limit=None), n_min, n_max)
+        matrix = event_text_cells(repost_groups(posts, limit=None), n_min, n_max)
     elif words == "hashtags":
         matrix = event_hashtag_matrix(posts)
     else:
         raise ValueError("words is 'text' or 'hashtags'")
-    return tfidf(written(matrix, "matrix"), number_of_events(posts))
+    return tfidf(written(matrix, "matrix"), number_of_events(posts) if n_events is None else n_events)
 
 
 def suggest_queries(
@@ -49,13 +65,14 @@ def suggest_queries(
     """The best new term of each event of a day, weighed against the events of the days around it.
 
     Terms the event was already searched with do not count. All events are
-    handled in one plan.
+    handled in one plan. Events of both ranges are counted in one pass and
+    written; their number comes from that table.
     """
-    wide = event_counts(posts, *event_window(day, n_days), min_posts=min_posts)
-    of_day = event_counts(posts, *day_window(day), min_posts=min_posts)
-    today = of_day.join(wide.select("event_id"), "event_id", "left_semi").select("event_id")
+    counted = events_in_windows(posts, {"wide": event_window(day, n_days), "of_day": day_window(day)}, min_posts)
+    events = written(counted, "events")
+    wide, today = events.filter("wide"), events.filter("wide AND of_day").select("event_id")
 
-    weights = weigh_terms(posts_of_events(posts, wide))
+    weights = weigh_terms(posts_of_events(posts, wide), n_events=wide.agg(F.count("*")).scalar())
     tags = field_counts(posts_of_events(posts, today), "tags", min_posts=min_tag_posts)
     fresh = term_not_in_tags(weights.join(today, "event_id", "left_semi"), tags)
     best = top_term_per_event(fresh)

@@ -205,6 +205,22 @@ def test_segmentation_equals_brute_force(spark, join_path):
     assert dict(rows(got)) == {t.lower(): longest(t.lower(), set(vocab)) for t in tags}
 
 
+def test_pieces_are_those_a_word_may_begin_with(spark):
+    """No vocabulary word that stands in a hashtag is missed, and few other pieces are tried."""
+    vocab = ["a", "charlie", "charl", "suis", "electroencephalograms", "x" * 40]
+    tags = ["jesuischarlie", "a" * 9, "x" * 64, "electroencephalogram", "zzzz" * 20, ""]
+    known = spark.createDataFrame([(v,) for v in vocab], "piece string")
+    words = spark.createDataFrame([(t,) for t in tags], "word string")
+    tried = {(r.word, r.start, r.piece) for r in H.candidate_pieces(words, H.vocabulary_starts(known)).collect()}
+    every = {(t, i + 1, t[i:j]) for t in tags for i in range(len(t)) for j in range(i + 1, min(len(t), i + 40) + 1)}
+    assert tried <= every and {p for p in every if p[2] in vocab} <= tried
+    assert all(any(v.startswith(p[2][:1]) and len(v) >= len(p[2]) for v in vocab) for p in tried)
+    assert not any(w.startswith("z") for w, _, _ in tried)
+    # The word of x goes on in the vocabulary from every letter, so all its pieces are tried; of the others few are.
+    others = [sum(not w.startswith("x") for w, _, _ in pieces) for pieces in (tried, every)]
+    assert others[0] < others[1] / 4
+
+
 def test_segmentation_without_vocabulary(spark):
     none = spark.createDataFrame([], "word string")
     got = H.segment_hashtags(spark.createDataFrame([("Nice",)], "word string"), none)
