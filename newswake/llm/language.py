@@ -213,3 +213,8 @@ def identified(docs: DataFrame) -> DataFrame:
 
 def op10_fused_language(spark, sf_dir: str) -> DataFrame:
     return identify(of_documents(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def pages_language(spark, sf_dir: str) -> DataFrame:
+    """The operator on raw pages, where markup, address suffix and host all take part."""
+    return identify(of_pages(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")

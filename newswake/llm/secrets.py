@@ -12,14 +12,16 @@ from newswake.llm.common import filled, table
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{16,}"  # a run has its match at its first AKIA or nowhere, so this is the 20 characters rule
 HEX = "[0-9a-f]{24,}"
-TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+TOKEN = "[A-Za-z0-9+/_=-]{16,}"
 IDENTIFIER = "[A-Za-z0-9+/_=-]{8,}"
 KINDS = ["assign", "access", "hex", "random"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
+MAX_WORD = 12  # letters of a word that identifiers are composed of
 MAX_TRAINING = 2_000  # documents that the ordinary identifiers are taken from
+UNIFORM = 0.05  # share of a uniform choice in each model
 MIN_RATIO = 12.0  # log-likelihood ratio in nats of a whole string
-MIN_MEAN = 0.4  # and per transition
+MIN_MEAN = 0.75  # and per transition: camel case of words that no text holds reaches 0.7
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -56,41 +58,69 @@ def base_spans(text: Column) -> list[Column]:
     return spans
 
 
+def composed(names: Column) -> Column:
+    """Identifiers as code writes them, each of three neighbouring words: camel and Pascal case, snake case, constants, paths, kebab case."""
+    def one(i: Column) -> Column:
+        a, b, c = (F.lower(F.get(names, 3 * i + k)) for k in range(3))
+        tall = [F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, MAX_WORD)) for x in (a, b, c)]
+        styles = [
+            F.concat(a, *tall[1:]), F.concat(*tall), F.concat_ws("_", a, b, c), F.upper(F.concat_ws("_", a, b, c)),
+            F.concat_ws("/", a, b, c), F.concat_ws("-", a, b, c), F.concat_ws("/", a, F.concat(b, tall[2]))]
+        return F.get(F.array(*styles), F.pmod(i, F.lit(len(styles))))
+
+    groups = F.floor(F.size(names) / 3).cast("int")
+    return F.when(groups > 0, F.transform(F.sequence(F.lit(0), groups - 1), one)).otherwise(F.array().cast("array<string>"))
+
+
 def labelled_strings(docs: DataFrame, max_docs: int = MAX_TRAINING) -> DataFrame:
     """(random, string): a labelled sample from the ``max_docs`` documents with the smallest hash of their id.
 
-    Random are the values of the fixed patterns in them, and a base64 and a
-    hex digest of each id. Ordinary are their other identifiers.
+    Random are the values of the fixed patterns in them, and strings made up
+    from digests of each id: base64 in both alphabets, hex in both cases, and
+    small letters with digits. Ordinary are their other identifiers, their
+    words composed as code composes them, numbers and times.
     """
     chosen = docs.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).distinct()
     texts = docs.select("doc_id", filled(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id")
     clean = F.col("text")
     for pattern in (ASSIGN, ACCESS, HEX):
         clean = F.regexp_replace(clean, pattern, " ")
-    digest = F.sha2(F.col("doc_id").cast("string"), 256)
+    id_ = F.col("doc_id").cast("string")
+    digest, other = F.sha2(id_, 256), F.sha2(F.concat(F.lit("b"), id_), 256)
+    dense = [F.rtrim(F.base64(F.unhex(F.sha2(F.concat(F.lit(x), id_), 512))), F.lit("=")) for x in "cdefgh"]
+    web = F.translate(F.rtrim(F.base64(F.unhex(other)), F.lit("=")), "+/", "-_")
     secrets = F.concat(
         F.filter(_matches(F.col("text"), ASSIGN, 2), lambda x: F.length(x) >= 6),
         *[_matches(F.col("text"), p) for p in (ACCESS, HEX)],
-        F.array(F.rtrim(F.base64(F.unhex(digest)), F.lit("=")), F.upper(F.substring(digest, 1, 32)), F.sha1(F.col("doc_id").cast("string"))),
+        F.array(*dense, web, *[F.translate(x, "+/", "-_") for x in dense[:2]], *[F.lower(F.translate(x, "+/", "")) for x in dense[3:]],
+                F.upper(F.substring(digest, 1, 32)), F.upper(F.sha1(id_)), F.sha1(id_)),
     )
+    numbers = F.array(F.substring(F.translate(digest, "abcdef", ""), 1, 16), F.substring(F.translate(other, "abcdef", ""), 1, 24))
+    stamp = F.date_format(F.timestamp_seconds(F.pmod(F.xxhash64("doc_id"), F.lit(4_000_000_000))), "yyyy-MM-dd'T'HH-mm-ss")
+    ordinary = F.concat(_matches(F.col("clean"), IDENTIFIER), composed(F.col("names")), numbers, F.array(stamp))
+    # Each step is a column, so that no step is computed again for every element of the next.
+    texts = texts.withColumn("clean", clean).withColumn("names", _matches(F.col("clean"), f"[A-Za-z]{{2,{MAX_WORD}}}"))
     labelled = F.array(
         F.struct(F.lit(True).alias("random"), secrets.alias("strings")),
-        F.struct(F.lit(False).alias("random"), _matches(clean, IDENTIFIER).alias("strings")))
+        F.struct(F.lit(False).alias("random"), ordinary.alias("strings")))
     return texts.select(F.explode(labelled).alias("x")).select("x.random", F.explode("x.strings").alias("string"))
 
 
 def train(strings: DataFrame) -> list[float]:
-    """The log-likelihood ratio of every transition of ALPHABET: first-order Markov models with add-one smoothing."""
+    """The log-likelihood ratio of every transition of ALPHABET: first-order Markov models, mixed with UNIFORM parts of
+    a uniform choice. A share, and not a count, so the ratios mean the same for samples of all sizes."""
     chars = F.split("string", "")
     next_ = F.slice(chars, 2, F.length("string") - 1)
     pairs = strings.filter(F.length("string") > 1).select("random", F.explode(F.zip_with(
         F.slice(chars, 1, F.length("string") - 1), next_, lambda a, b: F.concat(a, b))).alias("pair"))
     counts = {(r.random, r.pair): r.n for r in pairs.groupBy("random", "pair").agg(F.count("*").alias("n")).collect()}
+    even = 1 / len(ALPHABET)
     ratios = []
     for a in ALPHABET:
-        sizes = {r: len(ALPHABET) + sum(counts.get((r, a + b), 0) for b in ALPHABET) for r in (True, False)}
+        sizes = {r: sum(counts.get((r, a + b), 0) for b in ALPHABET) for r in (True, False)}
         for b in ALPHABET:
-            p, q = ((counts.get((r, a + b), 0) + 1) / sizes[r] for r in (True, False))
+            p, q = (
+                (1 - UNIFORM) * counts.get((r, a + b), 0) / sizes[r] + UNIFORM * even if sizes[r] else even for r in (True, False))
             ratios.append(math.log(p / q))
     return ratios
 
@@ -112,7 +142,7 @@ def ratio(string: Column, ratios: list[float]) -> Column:
 def scan(docs: DataFrame, ratios: list[float], min_ratio: float = MIN_RATIO, min_mean: float = MIN_MEAN) -> DataFrame:
     """(doc_id, spans) of every row: the spans of the fixed kinds and of the strings that the models call random.
 
-    A string is a run of at least 20 characters of identifiers. It is random
+    A string is a run of at least 16 characters of identifiers. It is random
     if its log-likelihood ratio reaches ``min_ratio``, and ``min_mean`` per
     transition, and it meets no span of a fixed kind. Spans are in code points,
     end exclusive, sorted by start and kind.

@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import random as rnd
 import re
+import string
 
 import __spark_entry__ as entry
 from newswake.llm.secrets import ALPHABET, KINDS, MIN_MEAN, MIN_RATIO, labelled_strings, scan, train
@@ -21,7 +23,7 @@ def spans_of(text, ratios):
     for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
         x = m[0]
         score = sum(ratios[ALPHABET.index(a) * len(ALPHABET) + ALPHABET.index(b)] for a, b in zip(x, x[1:], strict=False))
-        if len(x) >= 20 and score >= MIN_RATIO and score >= MIN_MEAN * (len(x) - 1) and not any(
+        if len(x) >= 16 and score >= MIN_RATIO and score >= MIN_MEAN * (len(x) - 1) and not any(
                 a < m.end() and m.start() < b for a, _, b in found):
             found.append((m.start(), 3, m.end()))
     return sorted(found)
@@ -62,3 +64,24 @@ def test_held_out_strings_and_edges(spark, docs, documents):
     assert len(by[8]) >= 38 and len(by[9]) <= 1 and [s[1] for s in by[10]] == [0]
     assert scan(docs(), ratios).count() == 0
     assert len(train(labelled_strings(docs()))) == len(ALPHABET) ** 2
+
+
+def test_precision_and_recall_on_strings_it_did_not_see(spark, docs, documents):
+    """Random strings of four alphabets and 16 to 40 characters; identifiers of real programs, numbers and times."""
+    rng = rnd.Random(11)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_", string.ascii_lowercase + string.digits, "0123456789ABCDEF"]
+    secret = ["".join(rng.choices(a, k=n)) for a in alphabets for n in (16, 18, 24, 40) for _ in range(25)]
+    code = """AbstractSingletonProxyFactoryBean getElementsByTagNameNS removeEventListener InvalidParameterException
+    java/util/concurrent/atomic spark_sql_adaptive_enabled convertLocalDateToInstant content-security-policy-header
+    test_stages_against_brute_force internationalization BufferedInputStreamReader springframework/context/annotation
+    background-image-position UnsupportedEncodingException isAdaptiveExecutionEnabled usr/local/share/documentation
+    kubernetes-service-account createOrReplaceGlobalTempView approx_count_distinct getOrCreateSparkContext
+    MINIMUM_LENGTH_OF_TEXT maximumNumberOfRetries node_modules/typescript/lib parseRelativeDateString
+    2021-07-19T08-30-00 1984-12-31T23-59-59 4012888888881881 20240103102030400""".split()
+    ordinary = [x for x in code if len(x) >= 16]
+    rows = [(i, x) for i, x in enumerate(secret + ordinary)]
+    got = {r.doc_id: len(r.spans) for r in scan(docs(*rows), train(labelled_strings(spark.createDataFrame(documents)))).collect()}
+    caught = sum(got[i] > 0 for i in range(len(secret))) / len(secret)
+    wrong = [x for i, x in rows[len(secret):] if got[i]]
+    assert caught >= 0.95
+    assert "AbstractSingletonProxyFactoryBean" not in wrong and len(wrong) <= 0.1 * len(ordinary), wrong
