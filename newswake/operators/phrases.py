@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newswake.constants import PHRASE_MIN_COUNT, PHRASE_THRESHOLD
-from newswake.operators.joins import one_per_element, salted_join, sized_join
+from newswake.operators.joins import BROADCAST_ROWS, one_per_element, salted_join
 from newswake.session import written
 
+BUCKETS = 1 << 13  # lists of a phrase table
+BROADCAST_BYTES = 8_000_000  # of the words in a phrase table
+
 
 def learn_phrases(
     sentences: DataFrame, min_count: int = PHRASE_MIN_COUNT, threshold: float = PHRASE_THRESHOLD
@@ -42,10 +45,44 @@ def learn_phrases(
     ).filter(F.col("score") > threshold)
 
 
+def phrase_table(known: DataFrame) -> DataFrame:
+    """One row with the phrases in ``BUCKETS`` lists by hash: ``phrases[bucket(pair)]`` holds all pairs of that hash."""
+    pair = F.struct("word_a", "word_b")
+    lists = known.groupBy(bucket(F.col("word_a"), F.col("word_b")).alias("bucket")).agg(F.collect_list(pair).alias("pairs"))
+    numbers = known.sparkSession.range(BUCKETS, numPartitions=1).select(F.col("id").alias("bucket"))
+    none = F.array().cast(lists.schema["pairs"].dataType)
+    filled = numbers.join(lists, "bucket", "left").select(F.struct("bucket", F.coalesce("pairs", none).alias("pairs")).alias("list"))
+    return filled.agg(F.transform(F.array_sort(F.collect_list("list")), lambda x: x["pairs"]).alias("phrases"))
+
+
+def bucket(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b).bitwiseAND(BUCKETS - 1)
+
+
+def phrase_places(sentences: DataFrame, known: DataFrame, pairs: Column, key: str) -> DataFrame:
+    """``sentences`` with ``hits``, the places (from 0) at which a known pair starts, in order; null or empty if there is none.
+
+    Up to ``BROADCAST_ROWS`` pairs in ``BROADCAST_BYTES`` are looked up where the
+    sentences are, in a table by hash, so no sentence is shuffled. More pairs are
+    joined, and their places go to the sentences by the key, which must be unique and not null there.
+    """
+    size = known.agg(F.count("*").alias("n"), F.sum(F.octet_length("word_a") + F.octet_length("word_b")).alias("bytes")).first()
+    if size.n <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES:
+        # The table is named once, right above the pairs, so the optimizer puts it into the lookup and copies it into no row.
+        tabled = sentences.withColumn("_pairs", pairs).withColumn("_phrases", phrase_table(known).scalar())
+        starts = F.transform("_pairs", lambda p, i: F.when(
+            F.array_contains(F.get("_phrases", bucket(p["word_a"], p["word_b"]).cast("int")), p), i))
+        return tabled.withColumn("hits", F.array_compact(starts)).drop("_phrases", "_pairs")
+    placed = one_per_element(sentences, [key], pairs, "pair", "at").select(key, "at", "pair.*")
+    hits = salted_join(placed, known, ["word_a", "word_b"], [key], how="left_semi")
+    found = hits.groupBy(key).agg(F.array_sort(F.collect_list("at")).alias("hits"))
+    return sentences.join(found, key, "left")
+
+
 def apply_phrases(sentences: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     """Merge phrases from left to right with ``_``; a merged word takes no part in a second phrase.
 
-    Pairs are looked up by a join, so the phrase table may be of any size. A
+    The phrase table may be of any size (``phrase_places``). A
     run of overlapping phrases merges its first, third, ... pair.
     """
     tokens = F.col("tokens")
@@ -54,10 +91,8 @@ def apply_phrases(sentences: DataFrame, phrases: DataFrame, key: str) -> DataFra
         F.slice(tokens, F.lit(1), neighbours), F.slice(tokens, F.lit(2), neighbours),
         lambda a, b: F.struct(a.alias("word_a"), b.alias("word_b")),
     )
-    placed = one_per_element(sentences, [key], pairs, "pair", "at").select(key, "at", "pair.*")
-    known = phrases.select("word_a", "word_b").distinct()
-    hits = sized_join(placed, known, ["word_a", "word_b"], [key], how="left_semi")
-    found = hits.groupBy(key).agg(F.array_sort(F.collect_list("at")).alias("hits"))
+    known = written(phrases.select("word_a", "word_b").distinct().na.drop(), "phrases")
+    rows = phrase_places(sentences, known, pairs, key)
 
     start = F.struct(F.lit(-2).alias("last"), F.array().cast("array<int>").alias("taken"))
     taken = F.aggregate(
@@ -67,7 +102,7 @@ def apply_phrases(sentences: DataFrame, phrases: DataFrame, key: str) -> DataFra
         ).otherwise(s),
         lambda s: s["taken"],
     )
-    rows = sentences.join(found.select(key, taken.alias("taken")), key, "left")
+    rows = rows.withColumn("taken", taken).drop("hits")
     # Between two merged pairs the tokens stay; the piece before pair k starts after pair k-1.
     ends = F.col("taken")
     begins = F.concat(F.array(F.lit(0)), F.transform(ends, lambda at: at + 2))

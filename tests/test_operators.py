@@ -104,6 +104,7 @@ def join_path(request, monkeypatch):
     """Both ways of a counted join: within the broadcast size and beyond it."""
     if request.param == "salted":
         monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(P, "BROADCAST_ROWS", 0)
 
 
 CAPTURE = f"post_id bigint, text string, tags array<string>, events array<{EVENT}>"
@@ -264,6 +265,19 @@ def test_phrases_equal_brute_force(spark, join_path):
     assert applied == {i: merged(tokens) for i, tokens in data}
 
 
+def test_phrases_are_applied_without_a_shuffle(spark):
+    """A phrase table within the bounds is looked up in place: the sentences are neither shuffled nor joined, and carry no copy of it."""
+    data = [(1, ["new", "york", "city"]), (1, ["new", "york"]), (2, []), (3, None), (None, ["x", "new", None, "york"])]
+    sentences = spark.createDataFrame(data, "id bigint, tokens array<string>").withColumn("tokens", F.transform("tokens", F.lower))
+    phrases = spark.createDataFrame([("new", "york"), ("york", "city"), (None, "new"), ("new", "york")], "word_a string, word_b string")
+    applied = P.apply_phrases(sentences, phrases, "id")
+    assert [(r.id, r.tokens) for r in applied.collect()] == [
+        (1, ["new_york", "city"]), (1, ["new_york"]), (2, []), (3, None), (None, ["x", "new", None, "york"])]
+    plan = applied._jdf.queryExecution().optimizedPlan().toString()
+    assert "_phrases" not in plan and "Join" not in plan.split("scalar-subquery")[0]
+    assert P.apply_phrases(sentences, phrases.limit(0), "id").count() == len(data)
+
+
 def test_tfidf_rows_have_length_one(spark):
     texts = ["ville de Nice en fete", "ville de Lyon en fete", "ville Nice fete", "ville Nice fete"]
     given = posts(spark, [(i, str(i), t, ["ab"[i % 2]], [], None) for i, t in enumerate(texts)])
