@@ -66,7 +66,8 @@ def composed(names: Column) -> Column:
         styles = [
             F.concat(a, *tall[1:]), F.concat(*tall), F.concat_ws("_", a, b, c), F.upper(F.concat_ws("_", a, b, c)),
             F.concat_ws("/", a, b, c), F.concat_ws("-", a, b, c), F.concat_ws("/", a, F.concat(b, tall[2]))]
-        return F.get(F.array(*styles), F.pmod(i, F.lit(len(styles))))
+        at = F.pmod(i, F.lit(len(styles)))
+        return F.coalesce(*[F.when(at == k, x) for k, x in enumerate(styles)])  # only the one that is asked for is built
 
     groups = F.floor(F.size(names) / 3).cast("int")
     return F.when(groups > 0, F.transform(F.sequence(F.lit(0), groups - 1), one)).otherwise(F.array().cast("array<string>"))
