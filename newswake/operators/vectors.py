@@ -87,12 +87,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, topn: int = 10, word: str =
             return pd.DataFrame({"query": [], word: [], "similarity": []})
         b = b.sort_values(word, kind="stable")
         names, rounded = b[word].to_numpy(), np.round(np.stack(a["vector"]) @ np.stack(b["vector"]).T, 9)
-        parts = []
-        for query, row in zip(a["query"], rounded, strict=True):
-            order = np.argsort(-row, kind="stable")[:topn + 1]
-            order = order[names[order] != query][:topn]
-            parts.append(pd.DataFrame({"query": query, word: names[order], "similarity": row[order]}))
-        return pd.concat(parts)
+        # All that are no farther than the last of the best, equal ones included: whole rows are not sorted.
+        far = np.where(np.isnan(rounded), np.inf, -rounded)
+        last = min(topn, len(names) - 1)
+        at, of = np.nonzero(far <= np.partition(far, last, axis=1)[:, last:last + 1])
+        order = np.lexsort((of, far[at, of], at))
+        at, of = at[order], of[order]
+        asked = a["query"].to_numpy()
+        near = pd.DataFrame({"at": at, "query": asked[at], word: names[of], "similarity": rounded[at, of]})
+        near = near[near.groupby("at").cumcount() <= topn]
+        near = near[near["query"] != near[word]]
+        return near[near.groupby("at").cumcount() < topn].drop(columns="at")
 
     found = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInPandas(best, f"query {word_type}, {word} {word_type}, similarity double")
     return top_n_per_group(found, ["query"], [F.desc("similarity"), F.asc(word)], topn, [word], rank="rank")
