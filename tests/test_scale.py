@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from newswake.operators import features as X
 from newswake.operators import phrases as P
 from newswake.operators import search as Q
+from newswake.operators import topics as T
 from newswake.operators import vectors as V
 
 TEXTS = [
@@ -113,3 +114,17 @@ def test_nearest_of_many_equal_vectors(spark):
     for r in sorted(found.collect(), key=lambda r: (r["query"], r["rank"])):
         got[r["query"]].append((r["word"], r["similarity"]))
     assert got == expected
+
+
+def test_what_counts_give_to_topics_is_summed_in_batches(spark):
+    """As columns for twenty topics in one compiled method, which the JVM only interprets, a round took six times as long."""
+    random = np.random.default_rng(5)
+    rows = [(d, f"t{t}", float(random.integers(1, 9)), random.random(20).tolist(), random.random(20).tolist()) for d in range(7) for t in range(30)]
+    both = spark.createDataFrame(rows, "doc int, term string, n double, shares array<double>, weights array<double>")
+    for at, key in enumerate(["doc", "term"]):
+        expected = defaultdict(lambda: np.zeros(20))
+        for row in rows:
+            met = np.array(row[3]) * np.array(row[4])
+            expected[row[at]] += met * row[2] / met.sum()
+        found = {r[key]: r.sums for r in T.given(both, key, 20).collect()}
+        assert found.keys() == expected.keys() and all(np.allclose(found[k], v) for k, v in expected.items())
