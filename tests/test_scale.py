@@ -117,7 +117,7 @@ def test_nearest_of_many_equal_vectors(spark):
 
 
 def test_what_counts_give_to_topics_is_summed_in_batches(spark):
-    """As columns for twenty topics in one compiled method, which the JVM only interprets, a round took six times as long."""
+    """With a compiled column for each of twenty topics a sum took about five times as long."""
     random = np.random.default_rng(5)
     rows = [(d, f"t{t}", float(random.integers(1, 9)), random.random(20).tolist(), random.random(20).tolist()) for d in range(7) for t in range(30)]
     both = spark.createDataFrame(rows, "doc int, term string, n double, shares array<double>, weights array<double>")
