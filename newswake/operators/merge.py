@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from newswake.functions.posts import has_event, ordered_union
 
 
-def capture_parts(rows: DataFrame, key: str, order: str, arrays: list[str]) -> DataFrame:
-    """Captures taken apart: per key its scalar fields (kind 0) and each distinct element of an array (kinds 1, 2, ...).
+def split_captures(rows: DataFrame, key: str, order: str, arrays: list[str]) -> DataFrame:
+    """Captures taken apart: of each its scalar fields (kind 0) and each element of an array (kinds 1, 2, ...). Nothing is shuffled.
 
     Columns: the key, ``kind``, the element in the column of its array,
-    ``seen`` (the place of the first appearance) and ``scalars``. Parts of
-    different captures are merged by ``merge_parts`` in any order and any
-    number of times. Captures with equal ``order`` go by a hash of the row, so
-    the result does not depend on the order of the rows.
+    ``seen`` (the place of the appearance) and ``scalars``. Parts are merged
+    by ``merge_parts`` in any order and any number of times. Captures with
+    equal ``order`` go by a hash of the row, so the result does not depend on
+    the order of the rows.
     """
     scalars = [c for c in rows.columns if c not in (key, order, *arrays)]
     element_types = {a: rows.schema[a].dataType.elementType.simpleString() for a in arrays}
@@ -32,15 +32,19 @@ def capture_parts(rows: DataFrame, key: str, order: str, arrays: list[str]) -> D
         return F.transform(F.coalesce(array, F.array().cast(rows.schema[array].dataType)), lambda e: entry(array, e))
 
     parts = [F.array(entry()), *map(entries, arrays)]
-    flat = rows.select(
+    return rows.select(
         key, order, F.xxhash64(*rows.columns).alias("tie"), F.struct(F.lit(True).alias("_stored"), *scalars).alias("scalars"), F.posexplode(F.concat(*parts)).alias("at", "part")
     ).select(
         key,
         F.struct(order, "tie", "at").alias("seen"),
         F.when(F.col("part.kind") == 0, F.col("scalars")).alias("scalars"),
         "part.*",
-    )
-    return merge_parts(flat, key, arrays)
+    ).select(key, "kind", *arrays, "seen", "scalars")
+
+
+def capture_parts(rows: DataFrame, key: str, order: str, arrays: list[str]) -> DataFrame:
+    """Captures taken apart and merged: per key its scalar fields and each distinct element of an array."""
+    return merge_parts(split_captures(rows, key, order, arrays), key, arrays)
 
 
 def merge_parts(parts: DataFrame, key: str, arrays: list[str]) -> DataFrame:
@@ -49,13 +53,16 @@ def merge_parts(parts: DataFrame, key: str, arrays: list[str]) -> DataFrame:
 
 
 def posts_of_parts(parts: DataFrame, key: str, arrays: list[str]) -> DataFrame:
-    """One row per key from its merged parts: the scalar fields, and the arrays in order of first appearance."""
+    """One row per key from its merged parts: the scalar fields, and the arrays in order of first appearance.
+
+    Scalar fields (kind 0) need not be merged: the first of a key is found here.
+    """
     def collected(kind: int, array: str) -> Column:
         found = F.collect_list(F.when(F.col("kind") == kind, F.struct("seen", F.col(array).alias("value"))))
         return F.transform(F.array_sort(found), lambda e: e["value"]).alias(array)
 
     merged = parts.groupBy(key).agg(
-        F.first("scalars", ignorenulls=True).alias("scalars"),
+        F.min_by("scalars", F.when(F.col("kind") == 0, F.col("seen"))).alias("scalars"),
         *[collected(k, a) for k, a in enumerate(arrays, 1)],
     )
     return merged.select(key, "scalars.*", *arrays).drop("_stored")

@@ -75,7 +75,7 @@ UNION ALL SELECT 'bad', page_id, NULL FROM pages""",
 )
 def stream_ingest(spark, sf):
     store = ingested(spark, sf)
-    posts = U.read_posts(spark, store, deleted=True).select(F.lit("post").alias("kind"), "post_id", "favorite_count")
+    posts = U.read_posts(spark, store, deleted=True, fields=["favorite_count"]).select(F.lit("post").alias("kind"), "post_id", "favorite_count")
     none = F.lit(None).cast("bigint")
     deletes = U.read_deletes(spark, store).select(F.lit("delete"), "post_id", none)
     return posts.union(deletes).union(U.read_bad(spark, store).select(F.lit("bad"), "post_id", none))
@@ -86,7 +86,7 @@ def stream_ingest(spark, sf):
     "SELECT doc_id AS post_id, md5(text) AS digest FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
 )
 def stream_deletes(spark, sf):
-    return U.read_posts(spark, ingested(spark, sf)).select("post_id", F.md5("text").alias("digest"))
+    return U.read_posts(spark, ingested(spark, sf), fields=["text"]).select("post_id", F.md5("text").alias("digest"))
 
 
 @query(

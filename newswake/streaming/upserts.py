@@ -2,7 +2,7 @@
 
 A store is a folder. A version is a folder ``v=<batch>-<id>`` below it, with
 tables of its own: ``parts`` (the captures of the batch, taken apart by
-``capture_parts``), ``deletes`` (ids of delete notices) and ``bad`` (rejected
+``split_captures``), ``deletes`` (ids of delete notices) and ``bad`` (rejected
 lines). The pointers ``_pointers/<number>`` are small files, each naming all
 versions that count and the last batch; the highest number holds. A pointer is
 written aside and renamed, and never written over, so readers see a batch
@@ -11,8 +11,9 @@ whole or not at all, and a batch that comes again finds itself counted.
 Parts are merged in any order and any number of times with the same result
 (the earliest place of each scalar field and array element wins), so it does
 not matter how captures are cut into batches, and a batch reads nothing but
-its own rows. Versions are merged ``MERGED`` at a time into larger ones, so a
-row is written again once per size.
+its own rows and shuffles none of its parts. Small versions are merged
+``MERGED`` at a time into larger ones, so a row is written again once per size
+until its version has ``SMALL`` bytes; readers merge what is left.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from newswake.operators.merge import capture_parts, delete_by_ids, merge_parts, posts_of_parts
+from newswake.operators.merge import delete_by_ids, merge_parts, posts_of_parts, split_captures
 from newswake.sources.captures import normalize, parse_lines, place_columns, with_seq
 
 KEY, ORDER, ARRAYS = "post_id", "seq", ("tags", "events")
 MERGED = 8  # versions of one size that are merged into one of the next
+SMALL = 32 << 20  # bytes: larger versions are read as cheaply apart as merged
+LARGE = -1  # the size of a version that is not merged any more
 
 
 @dataclass
@@ -79,6 +82,15 @@ def _table(spark: SparkSession, store: str, versions: Sequence[tuple[int, str]],
     return spark.read.parquet(*there) if there else None
 
 
+def _write(rows: DataFrame, path: str) -> None:
+    rows.write.option("compression", "zstd").parquet(path)
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    fs, place = _files(spark, path)
+    return fs.getContentSummary(place).getLength()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     fs, place = _files(spark, path)
     return fs.exists(place)
@@ -97,45 +109,56 @@ def add_version(
     if batch <= last.batch:
         return False
     folder = f"v={batch:012d}-{uuid.uuid4().hex[:12]}"
-    capture_parts(captures, key, order, list(arrays)).write.parquet(f"{store}/{folder}/parts")
+    _write(split_captures(captures, key, order, list(arrays)), f"{store}/{folder}/parts")
     if deletes is not None:
-        deletes.select(key).distinct().write.parquet(f"{store}/{folder}/deletes")
+        _write(deletes.select(key).distinct(), f"{store}/{folder}/deletes")
     if bad is not None:
-        bad.write.parquet(f"{store}/{folder}/bad")
+        _write(bad, f"{store}/{folder}/bad")
     merges = {"parts": lambda rows: merge_parts(rows, key, list(arrays)), "deletes": DataFrame.distinct, "bad": lambda rows: rows}
     _point(spark, store, _merged(spark, store, Pointer(last.number + 1, batch, [*last.versions, (0, folder)]), merges))
     return True
 
 
 def _merged(spark: SparkSession, store: str, now: Pointer, merges: dict[str, Callable[[DataFrame], DataFrame]]) -> Pointer:
-    """The pointer with ``MERGED`` versions of one size as one of the next size, as often as there are so many.
+    """The pointer with ``MERGED`` versions of one size as one of the next size, as often as there are so many small ones.
 
     ``merges`` says for each table of a version how the rows of several become those of one.
     """
     size = 0
     while any(s >= size for s, _ in now.versions):
         chosen = [v for v in now.versions if v[0] == size]
+        if len(chosen) >= MERGED:
+            large = {v for v in chosen if _bytes(spark, f"{store}/{v[1]}") >= SMALL}
+            now.versions = [(LARGE, v[1]) if v in large else v for v in now.versions]
+            chosen = [v for v in chosen if v not in large]
         if len(chosen) >= MERGED:
             folder = f"v={now.batch:012d}-{uuid.uuid4().hex[:12]}"
             for name, merge in merges.items():
                 rows = _table(spark, store, chosen, name)
                 if rows is not None:
-                    merge(rows).write.parquet(f"{store}/{folder}/{name}")
-            now.versions = [(size + 1, folder), *[v for v in now.versions if v[0] != size]]
+                    _write(merge(rows), f"{store}/{folder}/{name}")
+            now.versions = [(size + 1, folder), *[v for v in now.versions if v not in chosen]]
         size += 1
     return now
 
 
-def read_posts(spark: SparkSession, store: str, deleted: bool = False, key: str = KEY, arrays: Sequence[str] = ARRAYS) -> DataFrame:
+def read_posts(
+    spark: SparkSession, store: str, deleted: bool = False, key: str = KEY, arrays: Sequence[str] = ARRAYS, fields: Sequence[str] | None = None
+) -> DataFrame:
     """The posts of a store, one row per id; with ``deleted`` also those that a delete notice names.
 
-    The first capture gives the scalar fields; arrays grow in the order of capture.
+    The first capture gives the scalar fields; arrays grow in the order of
+    capture. ``fields`` names the scalar fields that are wanted: others are not
+    read. Scalar fields are shuffled once, as only array elements are merged before.
     """
     now = pointer(spark, store)
     parts = _table(spark, store, now.versions, "parts")
     if parts is None:
         raise ValueError(f"{store} is empty")
-    posts = posts_of_parts(merge_parts(parts, key, list(arrays)), key, list(arrays))
+    if fields is not None:
+        parts = parts.withColumn("scalars", F.struct(*[F.col("scalars")[f].alias(f) for f in ["_stored", *fields]]))
+    elements = merge_parts(parts.filter("kind > 0").withColumn("scalars", F.lit(None).cast(parts.schema["scalars"].dataType)), key, list(arrays))
+    posts = posts_of_parts(parts.filter("kind = 0").union(elements.select(*parts.columns)), key, list(arrays))
     notices = read_deletes(spark, store, key)
     return posts if deleted or notices is None else delete_by_ids(posts, notices, key)
 

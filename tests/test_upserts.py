@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from newswake.operators import merge as M
 from newswake.operators.merge import reduce_captures
 from newswake.sources.captures import event_captures, normalize, parse_lines, read_ordered
 from newswake.streaming import upserts as U
@@ -144,3 +145,25 @@ def test_counts_of_a_stream(spark, tmp_path):
             run()
             assert {(r.h, r.tag): r.n for r in U.read_counts(spark, str(tmp_path / "store")).collect()} == want
     assert [s for s, _ in U.pointer(spark, str(tmp_path / "store")).versions] == [1, 0, 0]
+
+
+def test_large_versions_are_not_written_again(spark, tmp_path, monkeypatch):
+    """They stay as they are; posts, null ids and repeats in one batch or many come out as from one batch."""
+    monkeypatch.setattr(U, "SMALL", 0)
+    store, rng, everything = str(tmp_path / "store"), random.Random(5), []
+    schema = "post_id bigint, text string, n int, tags array<string>, seq int"
+    for batch in range(9):
+        new = [(rng.choice([None, 1, 2, 3]), f"t{batch}-{i}", i, rng.choices("abcd", k=2) if i else None, rng.randrange(1000) * 100 + batch) for i in range(6)]
+        everything += new + new[:2]
+        U.add_version(spark.createDataFrame(new + new[:2], schema), store, batch, arrays=["tags"])
+    assert [s for s, _ in U.pointer(spark, store).versions] == [U.LARGE] * 8 + [0] and U.unused(spark, store) == []
+    whole = reduce_captures(spark.createDataFrame(everything, schema), "post_id", "seq", ["tags"])
+    assert sorted(map(str, U.read_posts(spark, store, arrays=["tags"]).collect())) == sorted(map(str, whole.collect()))
+    some = U.read_posts(spark, store, arrays=["tags"], fields=["n"])
+    assert sorted(map(str, some.collect())) == sorted(map(str, whole.select("post_id", "n", "tags").collect()))
+
+
+def test_a_batch_shuffles_no_parts(spark):
+    rows = spark.createDataFrame([(1, "t", ["a"], 5)], "post_id bigint, text string, tags array<string>, seq int")
+    plan = M.split_captures(rows, "post_id", "seq", ["tags"])._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
