@@ -5,6 +5,7 @@ import random
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from newswake.streaming import dedup as D
 from newswake.streaming.ingest import run_to_end, store_stream
@@ -63,3 +64,19 @@ def test_random_order_equals_batch(spark, tmp_path, keep):
     stored = run(spark, tmp_path, keep)
     assert {r.k: r.v for r in D.settled(stored, ["k"], "t").collect()} == firsts(everything)
     assert stored.count() < 300
+
+
+def test_only_firsts_of_a_batch_reach_the_state(spark, tmp_path):
+    """A key that stands a thousand times in what a task reads goes on once, and all ticks are one."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2, 3]), None if i % 50 == 0 else hour(10 + rng.randrange(200)), f"v{i}") for i in range(1000)]
+    read = spark.createDataFrame(rows, "k bigint, t string, v string").coalesce(1).select("k", F.to_timestamp("t").alias("t"), "v")
+    us, body = D._order(read, ["k"], "t")
+    told = read.select("k", F.to_json(F.struct("k")).alias("_same"), F.col("t").alias("clock"), F.lit(False).alias("tick"), us.alias("us"), body.alias("body"))
+    out = told.mapInArrow(D._first_of_batches, "k bigint, clock timestamp, tick boolean, us bigint, body string").collect()
+    assert sorted(str(r.k) for r in out if not r.tick) == ["1", "2", "3", "None"]
+    assert [r.clock for r in out if r.tick] == [read.agg(F.max("t")).first()[0]]
+    put(tmp_path / "in", "0.json", rows)
+    stored = run(spark, tmp_path, timedelta(hours=3))
+    assert {r.k: r.v for r in D.settled(stored, ["k"], "t").collect()} == firsts(rows)
+    assert sorted(r.status for r in stored.collect()) == ["late"] * 4  # a null time is before all others
