@@ -239,43 +239,64 @@ def most_similar(
 def nearest(vectors: DataFrame, queries: DataFrame, topn: int = 10, word: str = "word", block: int = BLOCK) -> DataFrame:
     """(query, word, similarity, rank): for each of many query vectors the nearest words by cosine, without itself.
 
-    Vectors and queries are dealt out into blocks by hash, and every block of
-    queries meets every block of vectors in a task of its own: one matrix
-    product, of which each query keeps its ``topn`` best. Only those are
-    shuffled, so there is no list of pairs, and a task holds two blocks.
-    Equal similarities (to nine digits) go by word. Vectors of length 0 are near to none.
+    Vectors and queries are packed in blocks by hash and written once. Every block of queries meets every file of
+    blocks of vectors in a task, a matrix product after the other, which reads them where they are: no block is copied
+    or shuffled for each that it meets. A task holds two blocks and the ``topn`` best of its queries so far, and only
+    those are shuffled. Equal similarities (to nine digits) go by word. Vectors of length 0 are near to none.
     """
     def unit(rows: DataFrame, name: str) -> DataFrame:
         length = F.sqrt(_dot(F.col("vector"), F.col("vector")))
         return rows.select(F.col(word).alias(name), F.transform("vector", lambda x: x.cast("double")).alias("vector"), length.alias("length")).filter(
             "length > 0").select(name, F.transform("vector", lambda x: x / F.col("length")).alias("vector"))
 
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
     n_vectors, n_queries = (max(1, math.ceil(df.count() / block)) for df in (vectors, queries))
+    word_type = vectors.schema[word].dataType.simpleString()
 
-    def dealt(rows: DataFrame, name: str, own: str, n: int, other: str, m: int) -> DataFrame:
-        all_others = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        return rows.withColumn(own, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")).withColumn(other, all_others)
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("name").combine_chunks()
+        names = pa.concat_arrays(rows["name"].chunks)
+        numbers = np.array([v for c in rows["vector"].chunks for v in c.to_pylist()], np.float64)
+        lists = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
+        return pa.table({"block": rows["block"][:1], "names": lists, "numbers": pa.array([numbers.tobytes()], pa.binary())})
 
-    left = dealt(unit(queries, "query"), "query", "q", n_queries, "v", n_vectors)
-    right = dealt(unit(vectors, word), word, "v", n_vectors, "q", n_queries)
-    word_type = vectors.schema[word].dataType.simpleString()
+    def blocks(rows: DataFrame, n: int) -> DataFrame:
+        dealt = unit(rows, "name").withColumn("block", F.pmod(F.xxhash64("name"), F.lit(n)).cast("int")).repartition(n, "block").groupBy("block")
+        return written(dealt.applyInArrow(pack, f"block int, names array<{word_type}>, numbers binary"), "blocks")
+
+    # More and smaller blocks of queries than of vectors where there are few, so all cores have work.
+    asked = blocks(queries, max(n_queries, min(cores, 4 * n_queries)))
+    asked = asked.select("block", F.col("names").alias("queries"), F.col("numbers").alias("asked"))
+    both = asked.repartition(max(n_queries, cores), "block").crossJoin(blocks(vectors, n_vectors).select("names", "numbers"))
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query": [], word: [], "similarity": []})
-        b = b.sort_values(word, kind="stable")
-        names, rounded = b[word].to_numpy(), np.round(np.stack(a["vector"]) @ np.stack(b["vector"]).T, 9)
-        # All that are no farther than the last of the best, equal ones included: whole rows are not sorted.
-        far = np.where(np.isnan(rounded), np.inf, -rounded)
-        last = min(topn, len(names) - 1)
-        at, of = np.nonzero(far <= np.partition(far, last, axis=1)[:, last:last + 1])
-        order = np.lexsort((of, far[at, of], at))
-        at, of = at[order], of[order]
-        asked = a["query"].to_numpy()
-        near = pd.DataFrame({"at": at, "query": asked[at], word: names[of], "similarity": rounded[at, of]})
-        near = near[near.groupby("at").cumcount() <= topn]
-        near = near[near["query"] != near[word]]
-        return near[near.groupby("at").cumcount() < topn].drop(columns="at")
-
-    found = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInPandas(best, f"query {word_type}, {word} {word_type}, similarity double")
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, pd.DataFrame] = {}
+        for batch in batches:
+            for i in range(len(batch)):
+                own, (a, b) = batch["block"][i].as_py(), (batch[c][i].values.to_numpy(zero_copy_only=False) for c in ("queries", "names"))
+                x, y = (np.frombuffer(batch[c][i].as_buffer(), np.float64).reshape(len(names), -1) for c, names in (("asked", a), ("numbers", b)))
+                best[own] = _best(best.get(own), a, x, b, y, topn)
+        for near in best.values():
+            columns = [pa.array(near[c].to_numpy(), from_pandas=False) for c in ("query", "word", "similarity")]
+            yield pa.RecordBatch.from_arrays(columns, ["query", word, "similarity"])
+
+    found = both.mapInArrow(met, f"query {word_type}, {word} {word_type}, similarity double")
     return top_n_per_group(found, ["query"], [F.desc("similarity"), F.asc(word)], topn, [word], rank="rank")
+
+
+def _best(held: pd.DataFrame | None, asked: np.ndarray, x: np.ndarray, names: np.ndarray, y: np.ndarray, topn: int) -> pd.DataFrame:
+    """The ``topn`` nearest of the sorted names for each that asks, and of those held from other blocks."""
+    rounded = np.round(x @ y.T, 9)
+    # All that are no farther than the last of the best, equal ones included: whole rows are not sorted.
+    far = np.where(np.isnan(rounded), np.inf, -rounded)
+    first, end = np.searchsorted(names, asked, "left"), np.searchsorted(names, asked, "right")
+    for at in np.flatnonzero(end > first):
+        far[at, first[at]:end[at]] = np.inf
+    last = min(topn, len(names)) - 1
+    at, of = np.nonzero(far <= np.partition(far, last, axis=1)[:, last:last + 1])
+    near = pd.DataFrame({"at": at, "query": asked[at], "word": names[of], "similarity": rounded[at, of], "far": far[at, of]})
+    near = near[near["query"] != near["word"]]
+    if held is not None:
+        near = pd.concat([held, near], ignore_index=True)
+    near = near.sort_values(["at", "far", "word"], kind="stable")
+    return near[near.groupby("at").cumcount() < topn]
